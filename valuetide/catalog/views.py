@@ -129,6 +129,32 @@ FROM v_act a JOIN (
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax, l_returnflag, l_linestatus) AS n
   FROM lineitem JOIN part ON l_partkey = p_partkey) l
 ON l.orderkey = CASE WHEN a.type = 'send' THEN a.grp * 4 ELSE a.action_id END""",
+    "v_raw_address": """
+SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'BTC' WHEN 1 THEN 'base' WHEN 2 THEN '' WHEN 3 THEN 'THOR' END AS hint,
+       CASE c_custkey % 12 WHEN 0 THEN concat(' THOR1Abc', CAST(c_custkey AS STRING)) WHEN 1 THEN concat('maya1X', CAST(c_custkey AS STRING), ' ')
+         WHEN 2 THEN concat('0x', upper(md5(c_name)), substr(md5(c_mktsegment), 1, 8)) WHEN 3 THEN concat('0x', CAST(c_custkey AS STRING))
+         WHEN 4 THEN concat('BC1Q', upper(c_name)) WHEN 5 THEN concat('BitcoinCash:Qz', CAST(c_custkey AS STRING))
+         WHEN 6 THEN concat('Cosmos1', c_name) WHEN 7 THEN concat('Account_RDX', CAST(c_custkey AS STRING)) WHEN 8 THEN concat('TAbc', CAST(c_custkey AS STRING))
+         WHEN 9 THEN concat('rAbC', CAST(c_custkey AS STRING)) WHEN 10 THEN concat('D', replace(upper(md5(c_name)), '0', 'x')) ELSE concat('So1', c_name) END AS address
+FROM customer""",
+    "v_raw_seed": """
+SELECT id, CASE id % 8 WHEN 0 THEN concat(trim(address), '/', trim(address)) WHEN 1 THEN concat('eth|', trim(address)) WHEN 2 THEN concat('https://x.io/', trim(address))
+         WHEN 3 THEN concat('bad?q=1; ', trim(address)) WHEN 4 THEN concat('not a chain|', trim(address)) WHEN 5 THEN concat('a:b:c,', trim(address), '|zzz')
+         WHEN 6 THEN trim(address) ELSE concat('short', ' ', lower(trim(address))) END AS raw
+FROM v_raw_address""",
+    "v_raw_asset": f"""
+SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'maya' ELSE 'THOR' END AS protocol,
+       CASE p_partkey % 11 WHEN 0 THEN ' rune' WHEN 1 THEN 'Cacao' WHEN 2 THEN concat('x/', lower(p_type)) WHEN 3 THEN concat('x/btc-', lower(p_type))
+         WHEN 4 THEN concat('eth.usdc-', substr(md5(p_name), 1, 8)) WHEN 5 THEN concat('BSC.', {_BRAND}, '-0X', substr(md5(p_name), 1, 6)) WHEN 6 THEN concat(lower(p_type), '-', {_BRAND})
+         WHEN 7 THEN lower(p_type) WHEN 8 THEN 'tcy' WHEN 9 THEN concat('sol.', {_BRAND}, '-', p_type) ELSE concat('gaia.', lower(p_type), '-ibc-', {_BRAND}) END AS asset,
+       CASE WHEN p_size % 3 = 0 THEN p_name ELSE '' END AS token_symbol
+FROM part""",
+    "v_raw_amount": """
+SELECT l_orderkey AS id, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN 18 WHEN 1 THEN 6 WHEN 2 THEN 8 ELSE 9 END AS decimals,
+       CASE WHEN l_partkey % 50 = 0 THEN 'n/a' ELSE concat(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING), substr('000000000000', 1, l_linenumber)) END AS raw,
+       CASE WHEN l_returnflag = 'R' THEN concat('-', CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) AS STRING))
+            WHEN l_returnflag = 'A' THEN concat('+1,234.', CAST(l_partkey AS STRING), '123456789') WHEN l_partkey % 7 = 0 THEN 'abc' ELSE CAST(l_suppkey AS STRING) END AS human
+FROM lineitem""",
     "v_utxo_in": """
 SELECT concat('UTX', CAST(l_orderkey AS STRING)) AS tx_id, concat('supp', CAST(l_suppkey AS STRING)) AS address,
        CAST(l_quantity AS BIGINT) AS value FROM lineitem WHERE l_returnflag = 'R'""",
@@ -225,6 +251,10 @@ def transfers(spark: SparkSession, sf_dir: str, name: str = "v_transfer") -> Dat
     )
 
 
+def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_pool")
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         view(spark, sf_dir, "v_trace")

@@ -9,7 +9,9 @@ from valuetide.functions.text import clean, col
 
 # fixed values: address formats
 EVM_PATTERN = "^0[xX][0-9a-fA-F]{40}$"
-CASELESS_PATTERN = "^(thor|maya|bc1|ltc1|cosmos1|account_rdx|component_rdx|resource_rdx)"
+CASELESS_PATTERN = (
+    "(?i)^(0x[0-9a-f]{40}$|thor|maya|bc1|ltc1|cosmos1|account_rdx|component_rdx|resource_rdx|bitcoincash:)"
+)
 DOGE_PATTERN = "^D[1-9A-HJ-NP-Za-km-z]{25,39}$"
 CHAIN_PATTERNS = [
     ("(?i)^maya", "MAYA"),
@@ -32,14 +34,10 @@ def is_evm(address: Column | str) -> Column:
 
 def normalize_address(address: Column | str) -> Column:
     """Fold case only where the format is case-insensitive; blank becomes null."""
-    kept = F.trim(col(address))
-    folded = F.lower(kept)
-    return F.nullif(
-        F.when(folded.startswith("bitcoincash:"), F.regexp_replace(folded, "^bitcoincash:", ""))
-        .when(is_evm(kept) | folded.rlike(CASELESS_PATTERN), folded)
-        .otherwise(kept),
-        F.lit(""),
-    )
+    kept = clean(address)
+    return F.when(
+        kept.rlike(CASELESS_PATTERN), F.regexp_replace(F.lower(kept), "^bitcoincash:", "")
+    ).otherwise(kept)
 
 
 def infer_chain(hint: Column | str, address: Column | str) -> Column:

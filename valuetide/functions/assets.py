@@ -17,39 +17,43 @@ def native_asset(protocol: Column | str) -> Column:
     return lookup(K.NATIVE_ASSET, normalize_protocol(protocol))
 
 
-def _dotted(upper: Column) -> Column:
-    return (
-        F.when(F.contains(upper, F.lit(".")), upper)
-        .when(upper.isin(*K.ASSET_ALIASES), lookup(K.ASSET_ALIASES, upper))
-        .otherwise(F.regexp_replace(upper, "^([^-]+)-(.+)$", "$1.$2"))
-    )
+# Rewrites of an upper-case name without a dot. Each step feeds the next, so the
+# expression stays linear in size however often a column passes through it.
+_X = r"^(?:X/\s*)+"
+_PLAIN_STEPS = [
+    ("^RUNE$", K.ASSET_ALIASES["RUNE"]),
+    ("^CACAO$", K.ASSET_ALIASES["CACAO"]),
+    (r"^([^./\-]+)-([^.]+)$", "$1.$2"),
+]
+_X_STEPS = [
+    (_X + "RUNE$", K.ASSET_ALIASES["RUNE"]),
+    (_X + "CACAO$", K.ASSET_ALIASES["CACAO"]),
+    (_X + r"([^.\-]+)-([^.]+)$", "$1.$2"),
+    (_X + r"([^.]+)$", K.THOR + ".$1"),
+]
 
 
-def _with_prefix(upper: Column, prefix: Column) -> Column:
-    dotted = _dotted(upper)
-    return F.when(F.contains(dotted, F.lit(".")), dotted).otherwise(F.concat(prefix, F.lit("."), upper))
+def _rewrite(value: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in steps:
+        value = F.regexp_replace(value, pattern, replacement)
+    return value
 
 
-def _denom_symbol(upper: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(upper, r"^(X/\s*)+", "")), F.lit(""))
+def _upper_name(raw: Column | str) -> Column:
+    return F.upper(clean(F.regexp_replace(col(raw), r"(?i)^\s*(x/\s*)+$", "")))
 
 
 def normalize_asset(asset: Column | str) -> Column:
     """``CHAIN.SYMBOL[-ID]`` in upper case; ``x/…`` denoms belong to the first protocol."""
-    upper = F.upper(clean(asset))
-    return F.when(
-        upper.startswith("X/") & ~F.contains(upper, F.lit(".")), _with_prefix(_denom_symbol(upper), F.lit(K.THOR))
-    ).otherwise(_dotted(upper))
+    return _rewrite(_upper_name(asset), _PLAIN_STEPS + _X_STEPS)
 
 
 def normalize_denom(protocol: Column | str, denom: Column | str) -> Column:
     """Ledger denom to asset; bare symbols get the protocol's own prefix."""
-    upper = F.upper(clean(denom))
-    prefix = normalize_protocol(protocol)
-    return (
-        F.when(upper.isin(*K.DENOM_ALIASES), lookup(K.DENOM_ALIASES, upper))
-        .when(upper.startswith("X/"), _with_prefix(_denom_symbol(upper), prefix))
-        .otherwise(_with_prefix(upper, prefix))
+    name = _rewrite(_upper_name(denom), [("^TCY$", K.DENOM_ALIASES["TCY"]), (_X, ""), *_PLAIN_STEPS])
+    # "PROTOCOL|NAME": a dotted name drops the prefix, any other takes it
+    return _rewrite(
+        F.concat(normalize_protocol(protocol), F.lit("|"), name), [(r"^[^|]*\|([^.]*\..*)$", "$1"), (r"^([^|]*)\|", "$1.")]
     )
 
 
@@ -89,7 +93,8 @@ def token_fields(asset: Column) -> dict[str, Column]:
 
 
 def is_token(asset: Column) -> Column:
-    return F.coalesce(token_fields(asset)["asset_kind"] == "fungible_token", F.lit(False))
+    """The canonical asset names a fungible token."""
+    return F.coalesce(asset.rlike(r"^[^.]+\.[^\-]*-\s*\S"), F.lit(False))
 
 
 def is_stable(asset: Column) -> Column:
