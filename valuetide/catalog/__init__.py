@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["columns"]
+GROUPS = ["columns", "classification"]
 
 
 def load():

@@ -155,6 +155,18 @@ SELECT l_orderkey AS id, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN 18
        CASE WHEN l_returnflag = 'R' THEN concat('-', CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) AS STRING))
             WHEN l_returnflag = 'A' THEN concat('+1,234.', CAST(l_partkey AS STRING), '123456789') WHEN l_partkey % 7 = 0 THEN 'abc' ELSE CAST(l_suppkey AS STRING) END AS human
 FROM lineitem""",
+    "v_policy": """
+SELECT substr(split_part(kind, '/', 1), 6) AS contract, split_part(kind, '/', 2) AS call,
+       CASE WHEN n % 3 = 0 THEN 'public-user' ELSE 'role-gated' END AS access, CASE WHEN n % 2 = 0 THEN 'trade' ELSE 'credit' END AS domain,
+       'liquidity' AS call_class, CASE WHEN n % 4 = 0 THEN 'no' ELSE 'yes' END AS funds_move,
+       CASE WHEN n % 4 = 0 THEN 'hide' ELSE 'address_to_contract' END AS graph_behavior
+FROM (SELECT lower(trim(contract_type)) AS kind, count(*) AS n FROM v_act WHERE contract_type IS NOT NULL GROUP BY lower(trim(contract_type))) t
+WHERE kind NOT LIKE '%bow%'""",
+    "v_raw_event": """
+SELECT event_id, CASE event_id % 22 WHEN 0 THEN 'add_liquidity' WHEN 1 THEN 'withdraw' WHEN 2 THEN 'Withdraw_Liquidity ' WHEN 3 THEN 'swap' WHEN 4 THEN 'streaming_swap'
+  WHEN 5 THEN 'refund' WHEN 6 THEN 'transfer' WHEN 7 THEN 'outbound' WHEN 8 THEN 'rune_pool_deposit' WHEN 9 THEN 'rune_pool_withdraw' WHEN 10 THEN 'trade_account_deposit'
+  WHEN 11 THEN 'trade_account_withdraw' WHEN 12 THEN 'secured_asset_deposit' WHEN 13 THEN 'secured_asset_withdraw' WHEN 14 THEN 'bond' WHEN 15 THEN 'rebond'
+  WHEN 16 THEN 'unbond' WHEN 17 THEN 'leave' WHEN 18 THEN 'slash' WHEN 19 THEN 'rewards' ELSE event_type END AS event_type FROM events""",
     "v_utxo_in": """
 SELECT concat('UTX', CAST(l_orderkey AS STRING)) AS tx_id, concat('supp', CAST(l_suppkey AS STRING)) AS address,
        CAST(l_quantity AS BIGINT) AS value FROM lineitem WHERE l_returnflag = 'R'""",
@@ -251,6 +263,14 @@ def transfers(spark: SparkSession, sf_dir: str, name: str = "v_transfer") -> Dat
     )
 
 
+def dims(spark: SparkSession, sf_dir: str):
+    """Owners and directory over the test tables."""
+    from valuetide.operators.classify import Dims, actor_owners, address_directory
+
+    owners, _ = actor_owners(view(spark, sf_dir, "v_actor"), view(spark, sf_dir, "v_actor_address"))
+    return Dims(owners, address_directory(spark, view(spark, sf_dir, "v_inbound")))
+
+
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_pool")
 

@@ -184,35 +184,36 @@ def leg_address_list(legs_col: Column) -> Column:
 # --- bonds --------------------------------------------------------------------
 
 
+_MEMO_NODE = r"(?i)^\s*(?:BOND|UNBOND|REBOND|LEAVE)[^:]*:\s*((?:thor|maya)[^:]*)"
+_MEMO_NEW = r"(?i)^\s*REBOND\s*:[^:]*:([^:]*)"
+
+
 def memo_node(memo: Column) -> Column:
     """Node address of a bond memo ``ACTION:node[:…]``."""
-    parts = F.split(F.trim(memo), ":")
-    verb = F.upper(F.trim(parts[0]))
-    node = normalize_address(F.try_element_at(parts, F.lit(2)))
-    return F.when(verb.rlike("^(BOND|UNBOND|REBOND|LEAVE)") & node.rlike("^(thor|maya)"), node)
+    return F.lower(clean(F.regexp_extract(memo, _MEMO_NODE, 1)))
 
 
 def memo_new_address(memo: Column) -> Column:
-    parts = F.split(F.trim(memo), ":")
-    return F.when(F.upper(F.trim(parts[0])) == "REBOND", normalize_address(F.try_element_at(parts, F.lit(3))))
+    """New bond address of ``REBOND:node:new[:…]``, as written."""
+    return clean(F.regexp_extract(memo, _MEMO_NEW, 1))
 
 
 def bond_node() -> Column:
     """Node named by bond metadata; rebond data wins, fields win over memos."""
     bond, rebond = F.col("metadata.bond"), F.col("metadata.rebond")
-    return F.when(
-        rebond.isNotNull(), F.coalesce(normalize_address(rebond["nodeAddress"]), memo_node(rebond["memo"]))
-    ).otherwise(F.coalesce(normalize_address(bond["nodeAddress"]), memo_node(bond["memo"])))
+    return F.when(rebond.isNotNull(), rebond_node()).otherwise(
+        normalize_address(F.coalesce(clean(bond["nodeAddress"]), memo_node(bond["memo"])))
+    )
 
 
 def rebond_node() -> Column:
     rebond = F.col("metadata.rebond")
-    return F.coalesce(normalize_address(rebond["nodeAddress"]), memo_node(rebond["memo"]))
+    return normalize_address(F.coalesce(clean(rebond["nodeAddress"]), memo_node(rebond["memo"])))
 
 
 def rebond_new_address() -> Column:
     rebond = F.col("metadata.rebond")
-    return F.coalesce(normalize_address(rebond["newBondAddress"]), memo_new_address(rebond["memo"]))
+    return normalize_address(F.coalesce(clean(rebond["newBondAddress"]), memo_new_address(rebond["memo"])))
 
 
 # --- coins --------------------------------------------------------------------

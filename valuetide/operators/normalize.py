@@ -65,9 +65,11 @@ def normalize_assets(df: DataFrame, column: str = "asset", protocol: str | None
 
 def asset_metadata(df: DataFrame, column: str = "asset") -> DataFrame:
     """Fill blank token columns from the asset name; values already present win."""
-    implied = assets.token_fields(assets.normalize_asset(column))
-    return df.withColumns(
-        {n: F.coalesce(clean(n), v) if n in df.columns else v for n, v in implied.items()}
+    implied = assets.token_fields(F.col("_asset"))
+    return (
+        df.withColumn("_asset", assets.normalize_asset(column))
+        .withColumns({n: F.coalesce(clean(n), v) if n in df.columns else v for n, v in implied.items()})
+        .drop("_asset")
     )
 
 
