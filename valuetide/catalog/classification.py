@@ -128,8 +128,8 @@ def _(spark, sf):
 def ref_sql(side: str, rows: str, raw: str, hint: str, depth: str) -> str:
     """Columns of an address reference over ``rows`` as a CTE body (address role)."""
     return f"""SELECT r.*, CASE WHEN o.ids IS NOT NULL THEN 'actor_address' ELSE coalesce(d.kind, 'external_address') END AS {side}_kind,
-    CASE WHEN o.ids IS NOT NULL THEN CASE WHEN o.actor_name IS NOT NULL THEN concat(o.actor_name, ' Addr ', {S.short(f'trim(r.{raw})')}) ELSE {S.short(f'trim(r.{raw})')} END
-         ELSE coalesce(d.label, {S.short(f'trim(r.{raw})')}) END AS {side}_label,
+    CASE WHEN o.ids IS NOT NULL THEN CASE WHEN o.actor_name IS NOT NULL THEN concat(o.actor_name, ' Addr ', {S.short(f'r.{side}_address')}) ELSE {S.short(f'r.{side}_address')} END
+         ELSE coalesce(d.label, {S.short(f'r.{side}_address')}) END AS {side}_label,
     CASE WHEN o.ids IS NULL AND d.kind IS NOT NULL THEN d.chain ELSE r.{side}_chain0 END AS {side}_chain,
     CASE WHEN o.ids IS NULL AND d.kind IS NULL AND {S.is_evm(f'r.{side}_address')} AND r.{side}_chain0 IS NOT NULL THEN concat(r.{side}_chain0, '|', r.{side}_address) ELSE r.{side}_address END AS {side}_key,
     CASE WHEN o.ids IS NOT NULL THEN 'actor_address' WHEN d.kind IN ('node', 'bond_address') THEN 'node_bond' WHEN d.kind IS NOT NULL THEN 'protocol' ELSE 'external' END AS {side}_stage,
@@ -177,7 +177,7 @@ def _(spark, sf):
 
 
 @query(
-    "resolve_bond_refs",
+    "resolve_node_refs",
     f"""WITH node_ AS (SELECT protocol, CASE WHEN rebond_memo IS NOT NULL THEN coalesce(lower(rebond_node), split_part(rebond_memo, ':', 2)) ELSE coalesce(lower(bond_node), split_part(bond_memo, ':', 2)) END AS node FROM v_act)
 SELECT concat('node:', node, ':', lower(protocol), ':node_bond:1') AS id, node AS key, 'node' AS kind,
   concat(CASE protocol WHEN 'MAYA' THEN 'MAYA Validator ' ELSE 'Node ' END, {S.short('node')}) AS label, 'THOR' AS chain, count(*) AS n FROM node_ WHERE node IS NOT NULL GROUP BY protocol, node""",
@@ -186,10 +186,23 @@ def _(spark, sf):
     from valuetide.operators.normalize import bond_memo_fields
 
     named = bond_memo_fields(V.actions(spark, sf))
-    refs = C.resolve_bond_refs(named, V.dims(spark, sf), "node_address", "node")
+    refs = C.resolve_node_refs(named)
     return refs.groupBy(*[F.col(f"ref_{n}").alias(n) for n in ("id", "key", "kind", "label", "chain")]).agg(F.count("*").alias("n"))
 
 
+@query(
+    "resolve_bond_refs",
+    f"""WITH {OWNERS}, {DIRECTORY}, rows_ AS (SELECT l.address, a.protocol, a.protocol AS hint FROM v_leg l JOIN v_act a ON a.action_id = l.action_id WHERE a.bond_memo IS NOT NULL OR a.rebond_memo IS NOT NULL),
+refs AS ({ref_sql('ref', 'rows_', 'address', 'hint', '1')}) SELECT concat(ref_kind, ':', ref_key, ':', ref_stage, ':1') AS id, ref_kind AS kind, ref_label AS label, ref_chain AS chain, count(*) AS n FROM refs GROUP BY 1, 2, 3, 4""",
+)
+def _(spark, sf):
+    legs = V.ledger_actions(spark, sf).where("metadata.bond IS NOT NULL OR metadata.rebond IS NOT NULL").select(
+        "source_protocol", F.explode(F.concat("in", "out")).alias("leg")
+    )
+    refs = C.resolve_bond_refs(legs.select("source_protocol", "leg.address"), V.dims(spark, sf))
+    return refs.groupBy(*[F.col(f"ref_{n}").alias(n) for n in ("id", "kind", "label", "chain")]).agg(F.count("*").alias("n"))
+
+
 POOLS_OF = f"""pool_of AS (SELECT a.action_id, a.protocol, coalesce(CASE WHEN a.pool <> '' THEN {S.asset('a.pool')} END,
     first(CASE WHEN l.asset <> '' AND {S.asset('l.asset')} <> {S.native('a.protocol')} THEN {S.asset('l.asset')} END ORDER BY CASE WHEN l.asset <> '' AND {S.asset('l.asset')} <> {S.native('a.protocol')} THEN 0 ELSE 1 END, l.side, l.n),
     first({S.asset('l.asset')} ORDER BY CASE WHEN l.asset <> '' THEN 0 ELSE 1 END, l.side, l.n)) AS pool
@@ -202,7 +215,7 @@ POOLS_OF = f"""pool_of AS (SELECT a.action_id, a.protocol, coalesce(CASE WHEN a.
         CASE WHEN pool LIKE '%.%' THEN split_part(pool, '.', 1) END AS chain FROM pool_of WHERE pool IS NOT NULL""",
 )
 def _(spark, sf):
-    refs = C.resolve_pool_refs(V.actions(spark, sf), V.dims(spark, sf))
+    refs = C.resolve_pool_refs(V.ledger_actions(spark, sf))
     return refs.select("action_id", *[F.col(f"ref_{n}").alias(n) for n in ("id", "key", "label", "chain")])
 
 

@@ -66,13 +66,13 @@ def _(spark, sf):
 
 @query(
     "scale_amounts",
-    """SELECT id, n, sum(CASE WHEN raw = 'n/a' THEN NULL WHEN decimals <= 8 THEN CAST(raw AS BIGINT) * CAST(power(10, 8 - decimals) AS BIGINT)
+    """SELECT id, n, sum(CASE WHEN raw = 'n/a' THEN -1 WHEN decimals <= 8 THEN CAST(raw AS BIGINT) * CAST(power(10, 8 - decimals) AS BIGINT)
        ELSE CAST(raw AS BIGINT) // CAST(power(10, decimals - 8) AS BIGINT) END)::BIGINT AS amount_raw, count(*) AS rows FROM v_raw_amount GROUP BY id, n""",
 )
 def _(spark, sf):
     scaled = N.scale_amounts(V.view(spark, sf, "v_raw_amount"))
     return scaled.groupBy("id", "n").agg(
-        F.sum("amount_raw").cast("bigint").alias("amount_raw"), F.count("*").alias("rows")
+        F.sum(F.coalesce("amount_raw", F.lit(-1))).cast("bigint").alias("amount_raw"), F.count("*").alias("rows")
     )
 
 
@@ -199,7 +199,7 @@ roles AS (SELECT action_id, n, address, tx, asset, amount, CASE WHEN matched OR
 
 @query("split_contract_legs", _ROLES + " SELECT action_id, role, address, count(*) AS n FROM roles WHERE role IS NOT NULL GROUP BY action_id, role, address")
 def _(spark, sf):
-    return N.split_contract_legs(V.actions(spark, sf)).groupBy(
+    return N.split_contract_legs(V.ledger_actions(spark, sf)).groupBy(
         "action_id", "role", F.col("leg.address").alias("address")
     ).agg(F.count("*").alias("n"))
 
@@ -225,7 +225,7 @@ def _(spark, sf):
        ELSE concat('thor1pay', CAST(custkey AS VARCHAR)) END END AS payout_address FROM v_act a JOIN v_leg l ON l.action_id = a.action_id AND l.side = 'in'""",
 )
 def _(spark, sf):
-    return N.payout_destinations(V.actions(spark, sf)).select("action_id", "payout_address")
+    return N.payout_destinations(V.ledger_actions(spark, sf)).select("action_id", "payout_address")
 
 
 @query(

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valuetide.session import land_once
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 _BRAND = "upper(replace(p_brand, '#', ''))"
@@ -263,6 +265,20 @@ def transfers(spark: SparkSession, sf_dir: str, name: str = "v_transfer") -> Dat
     )
 
 
+def ledger_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical nested actions."""
+    from valuetide.operators.normalize import canonical_actions
+
+    return land_once(spark, f"ledger actions {sf_dir}", lambda: canonical_actions(actions(spark, sf_dir)))
+
+
+def ledger_transfers(spark: SparkSession, sf_dir: str, name: str = "v_transfer") -> DataFrame:
+    """Canonical transfers."""
+    from valuetide.operators.normalize import canonical_transfers
+
+    return land_once(spark, f"{name} {sf_dir}", lambda: canonical_transfers(transfers(spark, sf_dir, name)))
+
+
 def dims(spark: SparkSession, sf_dir: str):
     """Owners and directory over the test tables."""
     from valuetide.operators.classify import Dims, actor_owners, address_directory

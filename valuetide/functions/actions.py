@@ -1,4 +1,8 @@
-"""Columns over one action row (nested legs, contract message, memo)."""
+"""Columns over one canonical action row (nested legs, contract message, memo).
+
+Leg fields are canonical (see ``normalize.canonical_actions``), so nothing here
+normalizes them again.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +12,27 @@ from pyspark.sql import functions as F
 from valuetide import constants as K
 from valuetide.functions.addresses import normalize_address
 from valuetide.functions.amounts import is_graphable
-from valuetide.functions.assets import native_asset, normalize_asset, normalize_denom, normalize_protocol
-from valuetide.functions.ids import clean_tx
+from valuetide.functions.assets import native_asset, normalize_denom, normalize_protocol
 from valuetide.functions.text import clean, lookup, text_or_blank
-from valuetide.schemas import COIN, LEG
+from valuetide.schemas import CANONICAL_LEG
 
 def legs(side: str) -> Column:
     """Legs of one side, never null."""
-    return F.coalesce(F.col(side), F.array().cast(f"array<{LEG}>"))
+    return F.coalesce(F.col(side), F.array().cast(f"array<{CANONICAL_LEG}>"))
 
 
 def leg_tx_ids(legs_col: Column) -> Column:
-    return F.filter(F.transform(legs_col, lambda leg: clean_tx(leg["txID"])), lambda tx: tx.isNotNull())
+    return F.filter(F.transform(legs_col, lambda leg: leg["tx"]), lambda tx: tx.isNotNull())
 
 
 def tx_ids() -> Column:
     """Distinct cleaned tx ids of all legs, sorted."""
-    return F.array_sort(F.array_distinct(F.concat(leg_tx_ids(legs("in")), leg_tx_ids(legs("out")))))
+    return F.array_sort(F.array_distinct(leg_tx_ids(F.concat(legs("in"), legs("out")))))
 
 
 def leg_addresses() -> Column:
-    """Distinct normalized leg addresses."""
-    both = F.transform(F.concat(legs("in"), legs("out")), lambda leg: normalize_address(leg["address"]))
+    """Distinct leg addresses."""
+    both = F.transform(F.concat(legs("in"), legs("out")), lambda leg: leg["address"])
     return F.array_distinct(F.filter(both, lambda a: a.isNotNull()))
 
 
@@ -125,8 +128,7 @@ def contract_amount(in_tx: Column, out_tx: Column) -> Column:
     """Amount of a coinless contract leg; the two tx ids must not contradict each other."""
     protocol = normalize_protocol("source_protocol")
     funds, nested = first_fund(protocol), swap_amount(protocol)
-    left, right = F.upper(clean(in_tx)), F.upper(clean(out_tx))
-    agree = F.coalesce(left == right, F.lit(True))
+    agree = F.coalesce(in_tx == out_tx, F.lit(True))
     picked = F.when(is_representative(contract_type()), F.coalesce(funds, nested)).otherwise(F.coalesce(nested, funds))
     return F.when((action_type() == "contract") & agree, picked)
 
@@ -140,7 +142,7 @@ def payout_destination() -> Column:
         ),
         lambda a: a.isNotNull(),
     )
-    inbound = F.transform(legs("in"), lambda leg: normalize_address(leg["address"]))
+    inbound = F.transform(legs("in"), lambda leg: leg["address"])
     shared = F.filter(found, lambda a: F.array_contains(inbound, a))
     return F.coalesce(F.try_element_at(shared, F.lit(1)), F.try_element_at(found, F.lit(1)))
 
@@ -160,15 +162,15 @@ def has_execute_payload() -> Column:
 
 def split_legs() -> tuple[Column, Column]:
     """(receiver legs, payout legs) of a contract call."""
-    in_txs = F.filter(F.transform(legs("in"), lambda leg: F.upper(clean(leg["txID"]))), lambda t: t.isNotNull())
+    in_txs = F.filter(F.transform(legs("in"), lambda leg: leg["txID"]), lambda t: t.isNotNull())
     out = legs("out")
 
     def marker(leg: Column) -> Column:
-        return clean(leg["txID"]).isNotNull() & (F.coalesce(F.size(leg["coins"]), F.lit(0)) <= 0)
+        return leg["txID"].isNotNull() & (F.size(leg["coins"]) == 0)
 
     matched = F.filter(
         out,
-        lambda leg: marker(leg) & ((F.size(in_txs) == 0) | F.coalesce(F.array_contains(in_txs, F.upper(clean(leg["txID"]))), F.lit(False))),
+        lambda leg: marker(leg) & ((F.size(in_txs) == 0) | F.coalesce(F.array_contains(in_txs, leg["txID"]), F.lit(False))),
     )
     receivers = F.when(F.size(matched) > 0, matched).otherwise(F.filter(out, marker))
     payouts = F.filter(out, lambda leg: ~marker(leg))
@@ -177,7 +179,7 @@ def split_legs() -> tuple[Column, Column]:
 
 def leg_address_list(legs_col: Column) -> Column:
     """Sorted distinct addresses of legs as comma text."""
-    found = F.filter(F.transform(legs_col, lambda leg: normalize_address(leg["address"])), lambda a: a.isNotNull())
+    found = F.filter(F.transform(legs_col, lambda leg: leg["address"]), lambda a: a.isNotNull())
     return F.array_join(F.array_sort(F.array_distinct(found)), ",")
 
 
@@ -189,47 +191,29 @@ _MEMO_NEW = r"(?i)^\s*REBOND\s*:[^:]*:([^:]*)"
 
 
 def memo_node(memo: Column) -> Column:
-    """Node address of a bond memo ``ACTION:node[:…]``."""
-    return F.lower(clean(F.regexp_extract(memo, _MEMO_NODE, 1)))
+    """Node address of a bond memo ``ACTION:node[:…]``, empty text when there is none."""
+    return F.trim(F.regexp_extract(memo, _MEMO_NODE, 1))
 
 
 def memo_new_address(memo: Column) -> Column:
     """New bond address of ``REBOND:node:new[:…]``, as written."""
-    return clean(F.regexp_extract(memo, _MEMO_NEW, 1))
-
-
-def bond_node() -> Column:
-    """Node named by bond metadata; rebond data wins, fields win over memos."""
-    bond, rebond = F.col("metadata.bond"), F.col("metadata.rebond")
-    return F.when(rebond.isNotNull(), rebond_node()).otherwise(
-        normalize_address(F.coalesce(clean(bond["nodeAddress"]), memo_node(bond["memo"])))
-    )
-
-
-def rebond_node() -> Column:
-    rebond = F.col("metadata.rebond")
-    return normalize_address(F.coalesce(clean(rebond["nodeAddress"]), memo_node(rebond["memo"])))
-
-
-def rebond_new_address() -> Column:
-    rebond = F.col("metadata.rebond")
-    return normalize_address(F.coalesce(clean(rebond["newBondAddress"]), memo_new_address(rebond["memo"])))
+    return F.trim(F.regexp_extract(memo, _MEMO_NEW, 1))
 
 
 # --- coins --------------------------------------------------------------------
 
 
 def coin_assets(legs_col: Column) -> Column:
-    """Canonical assets of all coins of the legs, in order."""
-    found = F.transform(F.flatten(F.transform(legs_col, lambda leg: F.coalesce(leg["coins"], F.array().cast(f"array<{COIN}>")))), lambda c: normalize_asset(c["asset"]))
+    """Assets of all coins of the legs, in order."""
+    found = F.transform(F.flatten(F.transform(legs_col, lambda leg: leg["coins"])), lambda c: c["asset"])
     return F.filter(found, lambda a: a.isNotNull())
 
 
 def action_pool() -> Column:
     """Declared pool, else the first coin that is not the protocol's own asset."""
     native = native_asset("source_protocol")
-    declared = F.filter(F.transform(F.col("pools"), normalize_asset), lambda a: a.isNotNull())
-    coins = F.concat(coin_assets(legs("in")), coin_assets(legs("out")))
+    declared = F.filter(F.col("pools"), lambda a: a.isNotNull())
+    coins = coin_assets(F.concat(legs("in"), legs("out")))
     return F.coalesce(
         F.try_element_at(declared, F.lit(1)),
         F.try_element_at(F.filter(coins, lambda a: a != native), F.lit(1)),
@@ -237,18 +221,9 @@ def action_pool() -> Column:
     )
 
 
-def first_chain(coins: Column) -> Column:
-    """Chain of the first coin that has one."""
-    chains = F.filter(
-        F.transform(coins, lambda c: F.nullif(F.regexp_extract(normalize_asset(c["asset"]), r"^([^.]+)\.", 1), F.lit(""))),
-        lambda c: c.isNotNull(),
-    )
-    return F.try_element_at(chains, F.lit(1))
-
-
 def correlation_tx() -> Column:
     """First tx id in leg order (in legs first)."""
-    return F.try_element_at(F.concat(leg_tx_ids(legs("in")), leg_tx_ids(legs("out"))), F.lit(1))
+    return F.try_element_at(leg_tx_ids(F.concat(legs("in"), legs("out"))), F.lit(1))
 
 
 def route_key() -> Column:

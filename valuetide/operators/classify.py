@@ -271,34 +271,33 @@ def attach_refs(df: DataFrame, side: str, dims: Dims, overrides: DataFrame | Non
     """Resolve ``{side}_raw`` (with ``_hint``, ``_role``, ``_depth``) to reference columns ``{side}_…``.
 
     Roles: ``address``, ``contract`` (label from ``{side}_call``), ``bond`` (a bond
-    wallet), ``node`` (a validator), ``pool`` (raw is an asset). Unresolvable and
-    excluded endpoints drop the row.
+    wallet), ``node`` (a validator), ``pool`` (raw is an asset). Raw values are
+    canonical and the hint is the final chain. Unresolvable and excluded endpoints
+    drop the row.
     """
     def c(name: str) -> Column:
         return F.col(f"{side}_{name}")
 
     raw, role, depth = c("raw"), c("role"), c("depth")
     pool, node = role == "pool", role == "node"
-    hint = (
-        F.when(role == "contract", F.coalesce(infer_chain(F.lit(None), raw), F.lit(K.THOR)))
-        .when(role.isin("node", "bond"), normalize_protocol("source_protocol"))
-        .otherwise(c("hint"))
+    df = df.where(raw.isNotNull() & (pool | node | ~raw.isin(*K.EXCLUDED_ADDRESSES))).withColumns(
+        {
+            "_addr": F.when(~pool, raw),
+            "_chain": F.when(pool, asset_chain(raw)).otherwise(c("hint")),
+            "_owned_by": F.when(~pool & ~node, raw),
+        }
     )
-    df = df.withColumns({"_addr": F.when(~pool, normalize_address(raw)), "_hint": F.when(~pool, hint)})
-    df = df.withColumns({"_chain": F.when(pool, asset_chain(raw)).otherwise(infer_chain("_hint", raw))})
-    df = df.withColumn("_key", F.when(~node, F.concat_ws("|", "_chain", "_addr")))
-    df = df.where((pool & clean(raw).isNotNull()) | (~pool & F.col("_addr").isNotNull() & (node | ~F.col("_addr").isin(*K.EXCLUDED_ADDRESSES))))
+    df = df.withColumn("_key", F.when(F.col("_owned_by").isNotNull(), F.concat_ws("|", "_chain", "_addr")))
 
     by_key = dims.owners.select(F.col("key").alias("_k1"), F.col("actor_ids").alias("_o1"), F.col("actor_name").alias("_n1"))
     by_address = dims.owners.select(F.col("key").alias("_k2"), F.col("actor_ids").alias("_o2"), F.col("actor_name").alias("_n2"))
     listed = dims.directory.select(
         F.col("address").alias("_d"), F.col("kind").alias("_dkind"), F.col("chain").alias("_dchain"), F.col("label").alias("_dlabel")
     )
-    lookup_addr = F.when(~node, F.col("_addr"))
     df = (
         df.join(by_key, F.col("_key") == F.col("_k1"), "left")
-        .join(by_address, lookup_addr == F.col("_k2"), "left")
-        .join(listed, lookup_addr == F.col("_d"), "left")
+        .join(by_address, F.col("_owned_by") == F.col("_k2"), "left")
+        .join(listed, F.col("_owned_by") == F.col("_d"), "left")
     )
     extra = []
     if overrides is not None:
@@ -372,17 +371,17 @@ def attach_refs(df: DataFrame, side: str, dims: Dims, overrides: DataFrame | Non
         values["actor_ids"] = F.when(hit, F.array().cast("array<bigint>")).otherwise(values["actor_ids"])
         values["shared"] = ~hit & values["shared"]
         values["chain"] = F.when(hit, F.col("_chain")).otherwise(values["chain"])
-    used = ["_addr", "_hint", "_chain", "_key", "_k1", "_o1", "_n1", "_k2", "_o2", "_n2", "_d", "_dkind", "_dchain", "_dlabel", "_kind", "_stage", "_label", "_refkey", "_refchain"]
+    used = ["_addr", "_owned_by", "_chain", "_key", "_k1", "_o1", "_n1", "_k2", "_o2", "_n2", "_d", "_dkind", "_dchain", "_dlabel", "_kind", "_stage", "_label", "_refkey", "_refchain"]
     return df.withColumns({f"{side}_{n}": v for n, v in values.items()}).drop(
         *used, *extra, f"{side}_raw", f"{side}_hint", f"{side}_role", f"{side}_call"
     )
 
 
-def _as_role(df: DataFrame, role: str, address: str, chain: str | None, depth: int, call: str | None = None) -> DataFrame:
+def _as_role(df: DataFrame, role: str, address: Column, chain: Column, depth: int, call: str | None = None) -> DataFrame:
     return df.withColumns(
         {
-            "ref_raw": F.col(address),
-            "ref_hint": F.col(chain) if chain else F.lit(None).cast("string"),
+            "ref_raw": address,
+            "ref_hint": chain,
             "ref_role": F.lit(role),
             "ref_depth": F.lit(depth),
             "ref_call": F.col(call) if call else F.lit(None).cast("string"),
@@ -391,22 +390,55 @@ def _as_role(df: DataFrame, role: str, address: str, chain: str | None, depth: i
     )
 
 
-def resolve_address_refs(df: DataFrame, dims: Dims, address: str = "address", chain: str | None = "chain", depth: int = 1, overrides: DataFrame | None = None) -> DataFrame:
-    return attach_refs(_as_role(df, "address", address, chain, depth), "ref", dims, overrides)
+def contract_chain(address: Column | str) -> Column:
+    """Contracts of unknown address format live on the first protocol's chain."""
+    return F.coalesce(infer_chain(F.lit(None).cast("string"), address), F.lit(K.THOR))
+
+
+def resolve_address_refs(df: DataFrame, dims: Dims, address: str = "address", chain: str = "chain", depth: int = 1, overrides: DataFrame | None = None) -> DataFrame:
+    return attach_refs(_as_role(df, "address", normalize_address(address), infer_chain(chain, address), depth), "ref", dims, overrides)
 
 
 def resolve_contract_refs(df: DataFrame, dims: Dims, address: str = "address", call: str | None = None, depth: int = 1) -> DataFrame:
-    return attach_refs(_as_role(df, "contract", address, None, depth, call), "ref", dims)
+    return attach_refs(_as_role(df, "contract", normalize_address(address), contract_chain(address), depth, call), "ref", dims)
 
 
-def resolve_bond_refs(df: DataFrame, dims: Dims, address: str = "address", role: str = "bond", depth: int = 1) -> DataFrame:
-    """Bond wallet (``role='bond'``) or validator (``role='node'``) references."""
-    return attach_refs(_as_role(df, role, address, None, depth), "ref", dims)
+def resolve_bond_refs(df: DataFrame, dims: Dims, address: str = "address", depth: int = 1) -> DataFrame:
+    """Bond wallet references."""
+    chain = infer_chain(normalize_protocol("source_protocol"), address)
+    return attach_refs(_as_role(df, "bond", normalize_address(address), chain, depth), "ref", dims)
+
+
+def resolve_node_refs(df: DataFrame, address: str = "node_address", depth: int = 1) -> DataFrame:
+    """Validator references; they come from the address alone, so no dimension is read."""
+    protocol = normalize_protocol("source_protocol")
+    df = df.where(clean(address).isNotNull())
+    df = df.withColumns({"ref_address": normalize_address(address), "ref_chain": infer_chain(protocol, address)})
+    return df.withColumns(
+        {
+            "ref_id": F.concat_ws(":", F.lit("node"), "ref_address", F.lower(protocol), F.lit("node_bond"), F.lit(depth)),
+            "ref_key": F.col("ref_address"),
+            "ref_kind": F.lit("node"),
+            "ref_label": bond_label(protocol, F.col("ref_address"), F.lit(None).cast("string")),
+            "ref_stage": F.lit("node_bond"),
+        }
+    )
 
 
-def resolve_pool_refs(actions: DataFrame, dims: Dims, depth: int = 2) -> DataFrame:
+def resolve_pool_refs(actions: DataFrame, depth: int = 2) -> DataFrame:
     """Pool reference of each action that has one."""
-    return attach_refs(_as_role(actions.withColumn("pool_asset", act.action_pool()), "pool", "pool_asset", None, depth), "ref", dims)
+    protocol = normalize_protocol("source_protocol")
+    df = actions.withColumn("pool_asset", act.action_pool()).where("pool_asset IS NOT NULL")
+    return df.withColumns(
+        {
+            "ref_id": F.concat_ws(":", F.lit("pool"), "pool_asset", F.lower(protocol), F.lit("pool"), F.lit(depth)),
+            "ref_key": F.concat_ws("|", protocol, "pool_asset"),
+            "ref_kind": F.lit("pool"),
+            "ref_label": F.concat(F.lit("Pool "), "pool_asset", F.lit(" ("), protocol, F.lit(")")),
+            "ref_chain": asset_chain(F.col("pool_asset")),
+            "ref_stage": F.lit("pool"),
+        }
+    )
 
 
 # --- seeds ---------------------------------------------------------------------------

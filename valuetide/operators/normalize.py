@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from valuetide.functions import actions as act
 from valuetide.functions import addresses, amounts, assets, ids
-from valuetide.functions.text import clean, col, text_or_blank
+from valuetide.functions.text import clean, col, first_text, text_or_blank
+from valuetide.schemas import CANONICAL_LEG, COIN
 
 
 def normalize_addresses(df: DataFrame, column: str = "address", out: str | None = None) -> DataFrame:
@@ -175,7 +176,75 @@ def payout_destinations(actions: DataFrame) -> DataFrame:
 
 
 def bond_memo_fields(actions: DataFrame) -> DataFrame:
-    return actions.withColumns({"node_address": act.bond_node(), "new_bond_address": act.rebond_new_address()})
+    """Validator, new bond address and validator of a rebond; metadata fields win over memos."""
+    bond, rebond = F.col("metadata.bond"), F.col("metadata.rebond")
+    return (
+        actions.withColumns(
+            {
+                "_bond_memo": act.memo_node(bond["memo"]),
+                "_rebond_memo": act.memo_node(rebond["memo"]),
+                "_new_memo": act.memo_new_address(rebond["memo"]),
+            }
+        )
+        .withColumns(
+            {
+                "_bond_text": first_text(bond["nodeAddress"], "_bond_memo"),
+                "_rebond_text": first_text(rebond["nodeAddress"], "_rebond_memo"),
+                "_new_text": first_text(rebond["newBondAddress"], "_new_memo"),
+            }
+        )
+        .withColumns(
+            {
+                "rebond_node_address": addresses.normalize_address("_rebond_text"),
+                "new_bond_address": addresses.normalize_address("_new_text"),
+                "node_address": addresses.normalize_address(
+                    F.when(rebond.isNotNull(), F.col("_rebond_text")).otherwise(F.col("_bond_text"))
+                ),
+            }
+        )
+        .drop("_bond_memo", "_rebond_memo", "_new_memo", "_bond_text", "_rebond_text", "_new_text")
+    )
+
+
+def canonical_actions(actions: DataFrame) -> DataFrame:
+    """Legs, pools and types in canonical form; every later operator reads these.
+
+    Done once per landed row, so that joins and projections work on plain fields.
+    """
+
+    def coin(c: Column) -> Column:
+        return F.struct(F.trim(c["amount"]).alias("amount"), assets.normalize_asset(c["asset"]).alias("asset"))
+
+    def leg(x: Column) -> Column:
+        coins = F.coalesce(F.transform(x["coins"], coin), F.array().cast(f"array<{COIN}>"))
+        chains = F.filter(F.transform(coins, lambda c: assets.asset_chain(c["asset"])), lambda c: c.isNotNull())
+        return F.struct(
+            addresses.normalize_address(x["address"]).alias("address"),
+            addresses.infer_chain(F.try_element_at(chains, F.lit(1)), x["address"]).alias("chain"),
+            F.upper(clean(x["txID"])).alias("txID"),
+            ids.clean_tx(x["txID"]).alias("tx"),
+            coins.alias("coins"),
+        )
+
+    sides = {side: F.coalesce(F.transform(side, leg), F.array().cast(f"array<{CANONICAL_LEG}>")) for side in ("in", "out")}
+    pools = F.filter(F.transform("pools", assets.normalize_asset), lambda p: p.isNotNull())
+    return actions.withColumns(
+        {**sides, "pools": pools, "source_protocol": assets.normalize_protocol("source_protocol")}
+    )
+
+
+def canonical_transfers(transfers: DataFrame) -> DataFrame:
+    """Transfers with canonical addresses, chains per end, tx ids and assets; keeps extra columns."""
+    ends = {f"{end}_chain": addresses.infer_chain("chain", end) for end in ("from", "to")}
+    canonical = {end: addresses.normalize_address(end) for end in ("from", "to")}
+    return transfers.withColumns(ends).withColumns(
+        {
+            **canonical,
+            "chain": F.upper(F.trim("chain")),
+            "asset": assets.normalize_asset("asset"),
+            "tx_id": F.upper(clean("tx_id")),
+        }
+    )
 
 
 def with_action_columns(actions: DataFrame) -> DataFrame:

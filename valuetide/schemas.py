@@ -4,6 +4,8 @@ from __future__ import annotations
 
 COIN = "struct<amount:string,asset:string>"
 LEG = f"struct<address:string,txID:string,coins:array<{COIN}>>"
+# after normalization: chain is inferred, txID is upper case, tx also drops all-zero ids
+CANONICAL_LEG = f"struct<address:string,chain:string,txID:string,tx:string,coins:array<{COIN}>>"
 METADATA = (
     "struct<contract:struct<contractType:string,funds:string,msg:string>,"
     "bond:struct<fee:string,memo:string,nodeAddress:string,provider:string>,"

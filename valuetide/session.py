@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and a lost executor re-reads instead of recomputing every earlier hop."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def land_once(spark: SparkSession, name: str, build) -> DataFrame:
+    """Write a derived table to the shared checkpoint folder once per application and read it back.
+
+    Later queries scan columnar files with pruning and pushdown instead of deriving the rows again.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _LANDED:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/landed/{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
