@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["columns", "classification"]
+GROUPS = ["columns", "classification", "movement"]
 
 
 def load():

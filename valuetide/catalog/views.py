@@ -111,11 +111,12 @@ FROM (SELECT o_orderkey AS action_id, CAST(floor(o_orderkey / 4.0) AS BIGINT) AS
       FROM orders) src""",
     "v_leg": f"""
 SELECT a.action_id, 'in' AS side, 1 AS n,
-       CASE WHEN a.custkey % 23 = 0 THEN concat('supp', CAST(a.custkey % 100 AS STRING)) ELSE concat('cust', CAST(b.custkey AS STRING)) END AS address,
+       CASE WHEN a.custkey % 7 = 0 AND x.suppkey IS NOT NULL THEN concat('supp', CAST(x.suppkey AS STRING)) ELSE concat('cust', CAST(b.custkey AS STRING)) END AS address,
        CASE WHEN a.action_id % 11 = 0 THEN '000' ELSE concat('tx', CAST(a.grp AS STRING)) END AS tx,
        CASE WHEN a.type = 'contract' AND a.custkey % 2 = 0 THEN '' WHEN a.custkey % 3 = 0 THEN 'rune' WHEN a.custkey % 3 = 1 THEN 'x/ruji' ELSE 'BTC-btc' END AS asset,
        CASE WHEN a.type = 'contract' AND a.custkey % 2 = 0 THEN '' ELSE CAST(1000000 + b.custkey AS STRING) END AS amount
 FROM v_act a JOIN v_act b ON b.action_id = CASE WHEN a.type = 'send' AND a.custkey % 3 > 0 THEN a.grp * 4 ELSE a.action_id END
+LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS suppkey FROM lineitem GROUP BY l_orderkey) x ON x.l_orderkey = a.grp
 UNION ALL
 SELECT a.action_id, 'out' AS side, l.n,
        CASE WHEN a.type = 'swap' AND l.fee = 1 THEN concat('thor1fee', CAST(l.suppkey AS STRING)) ELSE concat('supp', CAST(l.suppkey AS STRING)) END AS address,
@@ -279,6 +280,32 @@ def ledger_transfers(spark: SparkSession, sf_dir: str, name: str = "v_transfer")
     return land_once(spark, f"{name} {sf_dir}", lambda: canonical_transfers(transfers(spark, sf_dir, name)))
 
 
+def prepared_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions ready for projection."""
+    from valuetide.operators.project import prepare_actions
+
+    return land_once(spark, f"prepared {sf_dir}", lambda: prepare_actions(ledger_actions(spark, sf_dir)))
+
+
+def book(spark: SparkSession, sf_dir: str, min_usd: float = 0.0):
+    """Dimensions, prices and pools for projection; small snapshots, landed once."""
+    from valuetide.operators.aggregate import median_prices
+    from valuetide.operators.classify import Dims
+    from valuetide.operators.project import Book
+    from valuetide.sources.readers import load_pools
+
+    d = dims(spark, sf_dir)
+    return Book(
+        Dims(
+            land_once(spark, f"owners {sf_dir}", lambda: d.owners),
+            land_once(spark, f"directory {sf_dir}", lambda: d.directory),
+        ),
+        land_once(spark, f"prices {sf_dir}", lambda: median_prices(pools(spark, sf_dir))),
+        land_once(spark, f"pools {sf_dir}", lambda: load_pools(pools(spark, sf_dir)).select("asset").distinct()),
+        min_usd,
+    )
+
+
 def dims(spark: SparkSession, sf_dir: str):
     """Owners and directory over the test tables."""
     from valuetide.operators.classify import Dims, actor_owners, address_directory

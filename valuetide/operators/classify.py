@@ -30,9 +30,13 @@ def family_dimension(spark: SparkSession) -> DataFrame:
     )
 
 
+CALL_COLUMNS = ["call_key", "call_label", "call_protocol", "call_domain", "call_access", "call_class", "funds_move", "user_facing"]
+
+
 def describe_calls(df: DataFrame, column: str = "contract_type") -> DataFrame:
     """Descriptor columns (``call_…``) of a contract call type: exact call, then family, then wording."""
     spark = df.sparkSession
+    df = df.drop(*CALL_COLUMNS)
     kind = F.lower(F.trim(text_or_blank(column)))
     body = F.regexp_replace(F.col("_kind"), "^wasm-", "")
     staged = (
@@ -180,7 +184,8 @@ def trace_role(df: DataFrame, column: str = "contract_type") -> DataFrame:
         .when(kind.isin(*K.MARKET_CALLS), "market")
         .when(projectable, "custody")
     )
-    names = [c for c in df.columns if c not in ("trace_role", "trace_priority", "trace_projectable", "no_capital")]
+    added = ("trace_role", "trace_priority", "trace_projectable", "no_capital", *CALL_COLUMNS)
+    names = [c for c in df.columns if c not in added]
     return described.withColumns(
         {
             "trace_role": role,
