@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["columns", "classification", "movement"]
+GROUPS = ["columns", "classification", "movement", "graph"]
 
 
 def load():

@@ -237,7 +237,15 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}" if ctes else body
 
 
+_REGISTERED: dict[str, str] = {}
+
+
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
+    """Base tables as temporary views; done again only when the folder changes."""
+    app = spark.sparkContext.applicationId
+    if _REGISTERED.get(app) == sf_dir:
+        return
+    _REGISTERED[app] = sf_dir
     for name in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
@@ -294,11 +302,10 @@ def book(spark: SparkSession, sf_dir: str, min_usd: float = 0.0):
     from valuetide.operators.project import Book
     from valuetide.sources.readers import load_pools
 
-    d = dims(spark, sf_dir)
     return Book(
         Dims(
-            land_once(spark, f"owners {sf_dir}", lambda: d.owners),
-            land_once(spark, f"directory {sf_dir}", lambda: d.directory),
+            land_once(spark, f"owners {sf_dir}", lambda: dims(spark, sf_dir).owners),
+            land_once(spark, f"directory {sf_dir}", lambda: dims(spark, sf_dir).directory),
         ),
         land_once(spark, f"prices {sf_dir}", lambda: median_prices(pools(spark, sf_dir))),
         land_once(spark, f"pools {sf_dir}", lambda: load_pools(pools(spark, sf_dir)).select("asset").distinct()),

@@ -94,6 +94,11 @@ def _segment(
     )
 
 
+def no_rank() -> Column:
+    """Place of a segment that no frontier ordered."""
+    return F.struct(F.lit(0.0).alias("value"), F.lit("").alias("key"))
+
+
 def action_actor_ids(actions: DataFrame, dims: Dims) -> DataFrame:
     """Owners of any leg address, per action."""
     bare = dims.owners.select(F.col("key").alias("_k"), "actor_ids")
@@ -122,7 +127,7 @@ def finish_segments(raw: DataFrame, book: Book, actions: DataFrame | None = None
     swap = (F.col("action_class") == "swaps") & F.col("swap_tx").isNotNull() & F.col("src_address").isNotNull() & (F.col("src_address") != F.col("dst_address"))
     canonical = F.concat_ws("|", F.lit("swap"), "swap_tx", "src_address", "dst_address", F.coalesce("asset", native_asset("source_protocol")))
     order = F.struct(
-        F.lit(0).alias("hop"), F.lit(0).alias("rank"), F.coalesce(-F.unix_micros("ts"), F.lit(2**62)).alias("t"),
+        F.lit(0).alias("hop"), no_rank().alias("rank"), F.coalesce(-F.unix_micros("ts"), F.lit(2**62)).alias("t"),
         (-F.coalesce("height_n", F.lit(0))).alias("h"), F.col("uid").alias("k"), F.col("_place").alias("p"),
     )
     return (
@@ -424,7 +429,7 @@ def ownership_edges(actors: DataFrame, addresses: DataFrame, dims: Dims) -> Data
         }
     )
     order = F.struct(
-        F.lit(-1).alias("hop"), F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("h"), F.col("uid").alias("k"),
+        F.lit(-1).alias("hop"), no_rank().alias("rank"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("h"), F.col("uid").alias("k"),
         F.array(F.lit(0), F.lit(0), F.lit(0), F.lit(0)).alias("p"),
     )
     return refs.withColumn("ord", order).drop("_given", "actor_id", "name")

@@ -17,6 +17,7 @@ def local_session(cpus: str = "8", app: str = "valuetide") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -43,7 +44,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict[tuple[str, str], DataFrame] = {}
 
 
 def land_once(spark: SparkSession, name: str, build) -> DataFrame:
@@ -56,5 +57,5 @@ def land_once(spark: SparkSession, name: str, build) -> DataFrame:
         ensure_checkpoint_dir(spark)
         path = f"{spark.sparkContext.getCheckpointDir()}/landed/{uuid.uuid4().hex}"
         build().write.parquet(path)
-        _LANDED[key] = path
-    return spark.read.parquet(_LANDED[key])
+        _LANDED[key] = spark.read.parquet(path)
+    return _LANDED[key]
