@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from valuetide.llm import exact_dedup, langid, mixing, packing
+from valuetide.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, packing, toxicity
 from valuetide.llm.common import table
 
 
@@ -16,13 +16,35 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op5_mixing, op10_exact_dedup)}
-CHECK_SQL = {"op5_mixing": mixing.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_dedup, op4_toxicity, op5_mixing, op9_near_dedup, op10_exact_dedup)}
+#: Vectors are linked by the exact cosine, components grow to a fixpoint.
+_OP3_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, coalesce(c.root, e.vec_id) AS component_id, coalesce(c.root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.node = e.vec_id LEFT JOIN k ON k.a = e.vec_id"""
+
+CHECK_SQL = {"op3_embedding_dedup": _OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
