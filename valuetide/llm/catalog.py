@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from valuetide.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, packing, toxicity
+from valuetide.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, packing, substring_dedup, toxicity
 from valuetide.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_dedup, op4_toxicity, op5_mixing, op9_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_dedup, op4_toxicity, op5_mixing, op7_substring_dedup, op9_near_dedup, op10_exact_dedup)}
 #: Vectors are linked by the exact cosine, components grow to a fixpoint.
 _OP3_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),

@@ -105,7 +105,8 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _BYTE_CODE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd 64-bit number and of its inverse, from 0 to at least n - 1."""
     if len(_POWERS[0]) < n:
         size = 1 << (n - 1).bit_length()
         for k, base in enumerate((_MULT, _MULT_INV)):
@@ -124,7 +125,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span; equal bytes have equal hashes wherever they stand."""
-    up, down = _powers(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[raw] * up[: len(raw)], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
