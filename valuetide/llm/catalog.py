@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from valuetide.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, packing, substring_dedup, toxicity
+from pyspark.sql import functions as F
+
+from valuetide.llm import embedding_dedup, exact_dedup, langid, license_scan, mixing, near_dedup, packing, secret_scan, substring_dedup, toxicity
 from valuetide.llm.common import table
 
 
@@ -29,10 +31,22 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark, sf_dir):
+    """Clean words come from ``benchmark``; documents whose id leaves 2 by 4 are not learnt from."""
+    dictionary = secret_scan.dictionary_of(table(spark, sf_dir, "benchmark"))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), dictionary, learn=F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark, sf_dir):
+    """A document's path is its source, language and id."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan_licences(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,7 +55,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_dedup, op4_toxicity, op5_mixing, op7_substring_dedup, op9_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_dedup, op4_toxicity, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_license_scan, op9_near_dedup, op10_exact_dedup)}
 #: Vectors are linked by the exact cosine, components grow to a fixpoint.
 _OP3_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
