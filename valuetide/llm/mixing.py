@@ -14,7 +14,7 @@ MOST_TIMES = 3
 #: Cells of the unit interval in which a slot looks up its source.
 CELLS = 4096
 #: Rows of one piece of a source's shuffled order.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 _GOLDEN = 0.6180339887498949
 
