@@ -1,0 +1,60 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from valuetide.llm.license_scan import ancestors, directory_of, scan_licences
+from valuetide.llm.secret_scan import dictionary_of, scan_secrets
+
+from .helpers import docs_frame, odd_docs, prose
+
+FILES = "doc_id long, path string, text string, row int, line string, licence string"
+
+
+def test_licences(spark):
+    rows = [
+        (1, "r/LICENSE", "Released under the MIT License."),
+        (2, "r/a/x.py", "some code here"),
+        (3, "r/b/COPYING", "Licensed under the Apache License, Version 2.0."),
+        (4, "r/b/c/y.py", None),
+        (5, "r/b/z.py", prose(1, 400) + "\nThis work is licensed under the GNU General Public License, version 3."),
+        (6, "q/x", ""),
+        (7, "top", "All rights reserved.\n" + prose(2, 100)),
+        (8, None, "Licensed under CC BY-NC 4.0."),
+        (9, "q/y", "the license plate of my car was stolen"),
+        (10, "r/b/c/y.py", None),
+        (10, "r/b/c/y.py", None),
+        (11, "r/b/c", "licensed UNDER the apache license, version 2.0!"),
+    ]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame([(*r, 1, "l", "m") for r in rows], FILES)).collect()}
+    want = {
+        1: ("MIT", "MIT", None), 2: (None, "MIT", "r"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, "Apache-2.0", "r/b"), 5: ("GPL-3.0", "GPL-3.0", None), 6: (None, None, None),
+        7: ("proprietary", "proprietary", None), 8: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 9: (None, None, None), 10: (None, "Apache-2.0", "r/b"), 11: ("Apache-2.0", "Apache-2.0", None),
+    }
+    assert {k: (r.own_licence, r.licence, r.inherited_from) for k, r in got.items()} == want
+    assert scan_licences(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_paths(spark):
+    df = spark.createDataFrame([("a/b/c.py",), ("c.py",)], "p string").select(ancestors(directory_of(F.col("p"))))
+    assert [r[0] for r in df.collect()] == [["", "a", "a/b"], [""]]
+
+
+def key(k):
+    return "AKIA" + hashlib.md5(str(k).encode()).hexdigest()[:16].upper()
+
+
+def test_secrets(spark):
+    rows = []
+    for k in range(300):
+        h = hashlib.sha1(str(k).encode()).hexdigest()
+        inner = [f'token = "{h}"', key(k), f"password={h[:18]}", f"{k}.{k}.12.34:8080", f"man.{k}@mail.example.com", f"{4000000000000000 + k}"][k % 6]
+        rows.append((k, prose(k, 20) + " " + inner + " " + prose(k + 1, 20), "en", f"s{k % 3}"))
+    words = dictionary_of(spark.createDataFrame([("some clean words",), (None,)], "text string"))
+    got = scan_secrets(docs_frame(spark, rows + [(1000 + i, *r[1:]) for i, r in enumerate(odd_docs())]), words, learn=F.col("doc_id") % 5 != 0).collect()
+    found = {r.doc_id: r for r in got if r.doc_id < 300}
+    assert len(found) == 300
+    assert all(r.secret == (k % 6 < 3) for k, r in found.items())
+    assert found[1].candidate_sha256 == hashlib.sha256(key(1).encode()).hexdigest()
+    assert scan_secrets(docs_frame(spark, []), words).count() == 0
+    alone = scan_secrets(docs_frame(spark, rows[:1] + rows[:1]), words).collect()
+    assert len(alone) == 1 and alone[0].secret and alone[0].probability is None
