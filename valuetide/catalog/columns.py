@@ -129,7 +129,7 @@ def _(spark, sf):
     return N.flow_type_filter(a, ["swaps", "bonds"]).select("action_id", "action_class")
 
 
-_PRICED = f"""WITH {S.PRICES}, t AS (SELECT v.*, coalesce(CAST(amount_raw AS DOUBLE) / 1e8 * price, 0) AS usd
+_PRICED = f"""WITH {S.PRICES}, t AS (SELECT v.*, {S.usd('amount_raw', 'price')} AS usd
 FROM v_transfer v LEFT JOIN prices p ON p.asset = v.asset)"""
 
 
@@ -139,10 +139,10 @@ def _priced(spark, sf):
     return N.usd_value(V.transfers(spark, sf), median_prices(V.pools(spark, sf)))
 
 
-@query("usd_value", _PRICED + " SELECT chain, asset, count(*) AS n, round(sum(usd), 4) AS usd FROM t GROUP BY chain, asset")
+@query("usd_value", _PRICED + " SELECT chain, asset, count(*) AS n, CAST(round(sum(usd), 4) AS DOUBLE) AS usd FROM t GROUP BY chain, asset")
 def _(spark, sf):
     return _priced(spark, sf).groupBy("chain", "asset").agg(
-        F.count("*").alias("n"), F.round(F.sum("usd_spot"), 4).alias("usd")
+        F.count("*").alias("n"), F.round(F.sum("usd_spot"), 4).cast("double").alias("usd")
     )
 
 

@@ -72,7 +72,7 @@ def _reason_sql(refund: bool, fee: bool, strategy: bool) -> str:
         else "false"
     )
     by = ("WHEN g.refund THEN 'refund_associated' " if refund else "") + ("WHEN f.action_class = 'swaps' AND g.fee THEN 'liquidity_fee_associated' " if fee else "")
-    by += "WHEN f.action_class = 'swaps' AND g.strategy THEN 'strategy_sub_swap' " if strategy else ""
+    by += "WHEN f.action_class = 'swaps' AND g.strategy THEN 'calc_strategy_sub_swap' " if strategy else ""
     return f"""own_ AS (SELECT action_id, CASE {own} END AS own FROM fa),
 hits AS (SELECT f.action_id, bool_or(coalesce({early}, false)) AS early, first(CASE {by} END ORDER BY CASE WHEN (CASE {by} END) IS NULL THEN 1 ELSE 0 END, g.tx) AS by_ FROM fa f JOIN atx x ON x.action_id = f.action_id JOIN flags g ON g.tx = x.tx GROUP BY f.action_id),
 reasons AS (SELECT o.action_id, coalesce(own, CASE WHEN early THEN 'contract_sub_execution' END, by_) AS reason FROM own_ o LEFT JOIN hits h ON h.action_id = o.action_id)"""
@@ -195,10 +195,10 @@ def _(spark, sf):
 # --- projection --------------------------------------------------------------------------------
 
 FINISH = f"""owned AS (SELECT DISTINCT address FROM v_actor_address), own_act AS (SELECT DISTINCT action_id FROM lg WHERE address IN (SELECT address FROM owned)),
-fin AS (SELECT s.*, CASE WHEN p.price > 0 THEN CAST(s.amount AS DOUBLE) / 1e8 * p.price ELSE 0.0 END AS usd FROM seg s LEFT JOIN prices p ON p.asset = s.asset
+fin AS (SELECT s.*, {S.usd('s.amount', 'p.price')} AS usd FROM seg s LEFT JOIN prices p ON p.asset = s.asset
   WHERE {S.graphable('s.amount')} AND (s.asset NOT LIKE '%-%' OR s.asset IN (SELECT asset FROM pool_assets)) AND (s.loops OR s.src <> s.dst)),
 done AS (SELECT * FROM fin WHERE NOT (usd > 0 AND usd < {MIN_USD}) OR src IN (SELECT address FROM owned) OR dst IN (SELECT address FROM owned) OR action_id IN (SELECT action_id FROM own_act))"""
-REPORT = """SELECT src AS src_key, dst AS dst_key, action_key, coalesce(asset, '') AS asset, conf AS confidence, count(*) AS n, sum(CAST(amount AS BIGINT))::BIGINT AS amount_raw, round(sum(usd), 4) AS usd FROM done GROUP BY 1, 2, 3, 4, 5"""
+REPORT = """SELECT src AS src_key, dst AS dst_key, action_key, coalesce(asset, '') AS asset, conf AS confidence, count(*) AS n, sum(CAST(amount AS BIGINT))::BIGINT AS amount_raw, CAST(round(sum(usd), 4) AS DOUBLE) AS usd FROM done GROUP BY 1, 2, 3, 4, 5"""
 
 
 def _report(spark, sf, raw, actions):
@@ -208,7 +208,7 @@ def _report(spark, sf, raw, actions):
 
 def segment_report(done):
     return done.groupBy("src_key", "dst_key", "action_key", F.coalesce("asset", F.lit("")).alias("asset"), "confidence").agg(
-        F.count("*").alias("n"), F.sum("amount_raw").cast("bigint").alias("amount_raw"), F.round(F.sum("usd_spot"), 4).alias("usd")
+        F.count("*").alias("n"), F.sum("amount_raw").cast("bigint").alias("amount_raw"), F.round(F.sum("usd_spot"), 4).cast("double").alias("usd")
     )
 
 
@@ -261,9 +261,9 @@ _project("project_contracts", P.project_contracts, CONTRACTS)
 
 @query(
     "project_transfers",
-    f"""WITH {S.PRICES}, t AS (SELECT v.*, coalesce(CASE WHEN price > 0 THEN CAST(amount_raw AS DOUBLE) / 1e8 * price END, 0.0) AS usd FROM v_transfer v LEFT JOIN prices p ON p.asset = v.asset
+    f"""WITH {S.PRICES}, t AS (SELECT v.*, {S.usd('amount_raw', 'price')} AS usd FROM v_transfer v LEFT JOIN prices p ON p.asset = v.asset
   WHERE (v.asset NOT LIKE '%-%' OR v.asset IN (SELECT asset FROM pool_assets)) AND from_addr <> to_addr)
-SELECT from_addr AS src_key, to_addr AS dst_key, 'tracker.transfer' AS action_key, asset, confidence, count(*) AS n, sum(amount_raw)::BIGINT AS amount_raw, round(sum(usd), 4) AS usd FROM t WHERE NOT (usd > 0 AND usd < {MIN_USD}) GROUP BY 1, 2, 3, 4, 5""",
+SELECT from_addr AS src_key, to_addr AS dst_key, 'tracker.transfer' AS action_key, asset, confidence, count(*) AS n, sum(amount_raw)::BIGINT AS amount_raw, CAST(round(sum(usd), 4) AS DOUBLE) AS usd FROM t WHERE NOT (usd > 0 AND usd < {MIN_USD}) GROUP BY 1, 2, 3, 4, 5""",
 )
 def _(spark, sf):
     return segment_report(P.project_transfers(V.ledger_transfers(spark, sf), V.book(spark, sf, MIN_USD)))

@@ -111,3 +111,7 @@ prices AS (
   SELECT asset, price FROM med WHERE asset NOT IN ('THOR.RUNE', 'MAYA.CACAO')
   UNION ALL SELECT CASE source_protocol WHEN 'MAYA' THEN 'MAYA.CACAO' ELSE 'THOR.RUNE' END AS asset, ratio AS price FROM nat),
 pool_assets AS (SELECT DISTINCT asset FROM v_pool WHERE lower(status) = 'available' OR status = '')"""
+
+
+def usd(amount: str, price: str) -> str:
+    return f"coalesce(CASE WHEN {price} > 0 THEN CAST(CAST({amount} AS DOUBLE) / 1e8 * {price} AS DECIMAL(38, 10)) END, 0)"

@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from valuetide.functions.text import clean, col
 
 AMOUNT = "decimal(38,0)"
+#: Spot values: rounded once per row, then summed exactly, so no order of rows changes a total.
+USD = "decimal(38,10)"
 
 
 def parse_amount(raw: Column | str) -> Column:
-    """Leading integer token of a text; anything else is 0."""
-    token = F.regexp_extract(F.trim(col(raw).cast("string")), r"^([+-]?[0-9]+)(\s|$)", 1)
-    return F.coalesce(F.nullif(token, F.lit("")).try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+    """Leading integer token of a text, or 0; one with more digits than the type becomes the type's bound."""
+    return _bounded(raw, AMOUNT, "9" * 38)
 
 
 def parse_long(raw: Column | str) -> Column:
+    """The same as a 64-bit number."""
+    return _bounded(raw, "bigint", str(2**63 - 1))
+
+
+def _bounded(raw: Column | str, kind: str, most: str) -> Column:
     token = F.regexp_extract(F.trim(col(raw).cast("string")), r"^([+-]?[0-9]+)(\s|$)", 1)
-    return F.coalesce(F.nullif(token, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
+    bound = F.when(token.startswith("-"), F.lit("-" + most)).when(token != "", F.lit(most)).otherwise("0")
+    return F.coalesce(F.nullif(token, F.lit("")).try_cast(kind), bound.cast(kind))
 
 
 def scale_amount(raw: Column | str, decimals: Column | int) -> Column:

@@ -150,8 +150,11 @@ def edge_transactions(tx_assets: DataFrame) -> DataFrame:
     )
 
 
-def build_edges(segments: DataFrame, tx_assets: DataFrame) -> DataFrame:
-    """Edges with first-sighting descriptors and summed value; tx rows stay in their own table."""
+def build_edges(segments: DataFrame, tx_assets: DataFrame, txs: DataFrame | None = None) -> DataFrame:
+    """Edges with first-sighting descriptors and summed value; tx rows stay in their own table.
+
+    Heights of 0 or less are unknown. ``txs``: the edge transactions, where they are known already.
+    """
     described = segments.groupBy(edge_key().alias("edge_id")).agg(
         first_by("src_key").alias("from_key"),
         first_by("dst_key").alias("to_key"),
@@ -169,7 +172,7 @@ def build_edges(segments: DataFrame, tx_assets: DataFrame) -> DataFrame:
     )
     # distinct ids are counted from the tx table's own keys, which are already unique per protocol
     totals = (
-        edge_transactions(tx_assets)
+        (edge_transactions(tx_assets) if txs is None else txs)
         .groupBy("edge_id", "tx_id")
         .agg(F.min("height").alias("height"), F.sum("usd_spot").alias("usd_spot"))
         .groupBy("edge_id")
@@ -235,7 +238,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, supporting: DataFrame, reaso
         .withColumn("source_protocol_count", edges.select(F.explode("source_protocols").alias("p")).agg(F.count_distinct("p")).scalar())
     )
     if reasons is not None:
-        for name in ("refund_action", "refund_associated", "liquidity_fee_action", "liquidity_fee_associated", "contract_sub_execution", "strategy_sub_swap"):
+        for name in ("refund_action", "refund_associated", "liquidity_fee_action", "liquidity_fee_associated", "contract_sub_execution", "calc_strategy_sub_swap"):
             hit = reasons.where(F.col("reason") == name).agg(F.coalesce(F.sum("n"), F.lit(0)))
             counts = counts.withColumn(name, hit.scalar())
     return counts

@@ -133,12 +133,12 @@ def supported_asset_filter(df: DataFrame, pools: DataFrame, column: str = "asset
 def usd_value(
     df: DataFrame, prices: DataFrame, asset: str = "asset", amount: str = "amount_raw", out: str = "usd_spot"
 ) -> DataFrame:
-    """amount / 1e8 × spot price, 0 without a positive price. Assets are canonical."""
+    """amount / 1e8 × spot price as an exact decimal, 0 without a positive price. Assets are canonical."""
     book = prices.select(F.col("asset").alias("_p_asset"), F.col("price").alias("_p"))
     value = (F.col(amount).cast("decimal(38,0)").cast("double") / 1e8) * F.col("_p")
     return (
         df.join(book, F.col(asset) == F.col("_p_asset"), "left")
-        .withColumn(out, F.when(F.col("_p") > 0, F.coalesce(value, F.lit(0.0))).otherwise(0.0))
+        .withColumn(out, F.coalesce(F.when(F.col("_p") > 0, value.cast(amounts.USD)), F.lit(0).cast(amounts.USD)))
         .drop("_p_asset", "_p")
     )
 

@@ -12,6 +12,7 @@ from valuetide.functions import actions as act
 from valuetide.functions.addresses import normalize_address
 from valuetide.functions.text import text_or_blank
 from valuetide.operators.stitch import transfer_key
+from valuetide.session import cut_lineage
 
 
 def keep_best(df: DataFrame, keys: list[str | Column], best: Column, smallest: bool = True) -> DataFrame:
@@ -79,7 +80,8 @@ def page_actions(
     the end of the exact row count. Ranks come from a range-partitioned sort plus
     partition offsets, so no single task orders the whole history.
     """
-    batch = min(max(batch, 1), 20)
+    if batch < 1:
+        raise ValueError("batch must be at least one page")
     ranked = global_rank(actions, [F.desc_nulls_last("ts"), F.desc("height_n"), F.desc(key)])
     total = actions.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / PAGE_ROWS))
     if direction == "oldest":
@@ -99,8 +101,10 @@ def page_actions(
 
 def global_rank(df: DataFrame, order: list[Column], out: str = "_rank") -> DataFrame:
     """1-based position in a total order without gathering all rows in one task."""
-    sorted_rows = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
-    local = sorted_rows.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # ids that rise within each partition of the sort, written once so that counts and places agree
+    placed = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, within = F.shiftrightunsigned("_id", 33), F.col("_id") % F.lit(1 << 33) + 1
+    local = placed.withColumns({"_part": part, "_local": within}).drop("_id")
     sizes = local.groupBy("_part").agg(F.max("_local").alias("_size"))
     # one row per partition of the sort
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,14 +155,15 @@ def upsert_blocklist(blocklist: DataFrame, changes: DataFrame, removed: DataFram
 
 
 def list_actors(actors: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Actors by lower(name) with their addresses nested in order."""
-    entry = F.struct(F.lower("address").alias("sort"), F.col("address_id").alias("id"), "address", "chain_hint", "label")
-    nested = addresses.groupBy("actor_id").agg(F.array_sort(F.collect_list(entry)).alias("addresses"))
-    return actors.join(nested, "actor_id", "left").orderBy(F.lower("name"), "actor_id")
+    """Actors by lower(name) with their addresses, one row each, in order; an actor without addresses has one row."""
+    own = addresses.select("actor_id", "address_id", "address", "chain_hint", "label")
+    return actors.join(own, "actor_id", "left").orderBy(F.lower("name"), "actor_id", F.lower("address"), "address_id")
 
 
 def merge_height_ranges(heights: DataFrame, keys: list[str], padding: int = 2, gap: int = 24) -> DataFrame:
-    """Padded heights merged into ranges when at most ``gap`` apart (gaps and islands)."""
+    """Padded heights merged into ranges when at most ``gap`` apart (gaps and islands); ``keys`` are needed."""
+    if not keys:
+        raise ValueError("merge_height_ranges needs at least one key")
     distinct = heights.select(*keys, "height").distinct()
     padded = distinct.select(*keys, F.greatest(F.lit(1), F.col("height") - padding).alias("s"), (F.col("height") + padding).alias("e"))
     in_order = Window.partitionBy(*keys).orderBy("s", "e")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from valuetide import constants as K
 from valuetide.functions import actions as act
 from valuetide.functions.addresses import infer_chain, normalize_address
-from valuetide.functions.amounts import AMOUNT, is_graphable, parse_amount
+from valuetide.functions.amounts import AMOUNT, USD, is_graphable, parse_amount
 from valuetide.functions.assets import native_asset, token_fields
 from valuetide.functions.ids import clean_tx
 from valuetide.functions.text import clean, text_or_blank
@@ -18,6 +18,7 @@ from valuetide.operators import normalize as N
 from valuetide.operators.classify import Dims, attach_refs, bond_label, classify_actions, contract_chain, trace_role
 from valuetide.operators.stitch import bond_node_by_tx, known_payout, payout_by_contract, trace_select_transfers
 from valuetide.operators.suppress import kept_swap_legs
+from valuetide.session import cut_lineage
 
 
 @dataclass
@@ -96,7 +97,7 @@ def _segment(
 
 def no_rank() -> Column:
     """Place of a segment that no frontier ordered."""
-    return F.struct(F.lit(0.0).alias("value"), F.lit("").alias("key"))
+    return F.struct(F.lit(0).cast(USD).alias("value"), F.lit("").alias("key"))
 
 
 def action_actor_ids(actions: DataFrame, dims: Dims) -> DataFrame:
@@ -186,8 +187,13 @@ def project_liquidity(actions: DataFrame) -> DataFrame:
     return ins.unionByName(outs)
 
 
-def _bond_rows(actions: DataFrame) -> DataFrame:
-    """One row per in leg of a bond action: wallet, validator and the coin that moved."""
+def _bond_rows(actions: DataFrame, directory: DataFrame | None = None) -> DataFrame:
+    """One row per in leg of a bond action: wallet, validator and the coin that moved.
+
+    A wallet that the directory lists as a validator draws nothing.
+    """
+    listed = actions.sparkSession.createDataFrame([], "address string") if directory is None else directory.where("kind = 'node'").select("address")
+    validators = listed.select(F.col("address").alias("_v")).distinct()
     bonds = usable(actions).where("action_class = 'bonds' AND lower(trim(type)) <> 'contract'")
     # the map is built from every bond action read, failed ones included
     by_tx = bond_node_by_tx(actions.where("lower(trim(type)) <> 'contract'"))
@@ -206,6 +212,7 @@ def _bond_rows(actions: DataFrame) -> DataFrame:
     return (
         legs.withColumn("_wallet", F.coalesce("provider_address", "l.address"))
         .where(F.col("_wallet").isNotNull() & ~F.col("_wallet").isin(K.ASGARD_MODULE, K.BOND_MODULE))
+        .join(validators, F.col("_wallet") == F.col("_v"), "left_anti")
         .join(by_tx.withColumnsRenamed({"tx": "_ntx", "node_address": "_leg_node"}), F.col("l.tx") == F.col("_ntx"), "left")
         .join(anywhere, "uid", "left")
         .withColumns(
@@ -222,9 +229,9 @@ def _bond_end(side: str, address: str, offset: int, role: str) -> list[Column]:
     return _end(side, F.col(address), infer_chain("source_protocol", address), offset, role)
 
 
-def project_bonds(actions: DataFrame) -> DataFrame:
+def project_bonds(actions: DataFrame, directory: DataFrame | None = None) -> DataFrame:
     """Wallet to validator; reversed when value leaves the bond."""
-    rows = _bond_rows(actions).where("_kind <> 'rebond' AND validator IS NOT NULL")
+    rows = _bond_rows(actions, directory).where("_kind <> 'rebond' AND validator IS NOT NULL")
     leaving = F.col("_kind").rlike("unbond|slash|reward") | (F.col("_kind") == "leave")
     value = (F.col("coin.asset"), F.col("coin.amount"))
     inward = _segment(
@@ -236,9 +243,9 @@ def project_bonds(actions: DataFrame) -> DataFrame:
     return inward.unionByName(outward)
 
 
-def project_rebonds(actions: DataFrame) -> DataFrame:
+def project_rebonds(actions: DataFrame, directory: DataFrame | None = None) -> DataFrame:
     """Old wallet to new wallet, validator attached."""
-    rows = _bond_rows(actions).where("_kind = 'rebond' AND new_bond_address IS NOT NULL")
+    rows = _bond_rows(actions, directory).where("_kind = 'rebond' AND new_bond_address IS NOT NULL")
     return _segment(
         rows, _bond_end("src", "_wallet", 0, "bond"), _bond_end("dst", "new_bond_address", 1, "bond"), F.col("coin.asset"), F.col("coin.amount"), 0.9,
         F.col("l.txID"), 0, "i",
@@ -369,14 +376,14 @@ def project_actions(actions: DataFrame, book: Book, trace: DataFrame | None = No
     """Finished segments of all classes, with the fallbacks for actions that drew nothing."""
     plain = actions.where("lower(trim(type)) <> 'contract'")
     calls = actions.where("lower(trim(type)) = 'contract'")
-    main = project_swaps(plain).unionByName(project_liquidity(plain)).unionByName(project_bonds(plain)).unionByName(project_rebonds(plain))
+    main = project_swaps(plain).unionByName(project_liquidity(plain)).unionByName(project_bonds(plain, book.dims.directory)).unionByName(project_rebonds(plain, book.dims.directory))
     if trace is not None:
         traced = trace.select(F.col("tx_id").alias("_t")).distinct()
         handled = F.when(F.col("trace_projectable"), F.col("trace_tx"))
         main = main.unionByName(project_contract_traces(calls, trace))
         calls = calls.join(traced, handled == F.col("_t"), "left_anti")
     main = main.unionByName(project_contracts(calls))
-    drawn = finish_segments(main, book, actions, overrides)
+    drawn = cut_lineage(finish_segments(main, book, actions, overrides))  # read twice
     done = drawn.select("uid").distinct()
     rest = project_other(plain.join(done, "uid", "left_anti")).unionByName(project_contract_fallback(calls).join(done, "uid", "left_anti"))
     return drawn.unionByName(finish_segments(rest, book, actions, overrides))
@@ -423,7 +430,7 @@ def ownership_edges(actors: DataFrame, addresses: DataFrame, dims: Dims) -> Data
             "action_class": F.lit("ownership"), "action_key": F.lit("ownership"), "action_label": F.lit("Ownership"), "action_domain": empty,
             "contract_type": empty, "contract_protocol": empty, "validator_address": empty, "validator_label": empty,
             "swap_in_asset": empty, "swap_in_amount": F.lit(None).cast(AMOUNT), "swap_out_asset": empty, "swap_out_amount": F.lit(None).cast(AMOUNT),
-            "asset": empty, "amount_raw": F.lit(0).cast(AMOUNT), "usd_spot": F.lit(0.0), "tx_id": empty, "height": F.lit(None).cast("bigint"),
+            "asset": empty, "amount_raw": F.lit(0).cast(AMOUNT), "usd_spot": F.lit(0).cast(USD), "tx_id": empty, "height": F.lit(None).cast("bigint"),
             "time": F.lit(None).cast("timestamp"), "confidence": F.lit(1.0), "actor_ids": ids, "canonical_key": empty,
             "uid": F.concat_ws("|", F.lit("own"), "src_key", "dst_key"),
         }

@@ -112,7 +112,7 @@ def consume_transfers(actions: DataFrame, transfers: DataFrame, directory: DataF
         marked.join(by_tx, F.col("tx_id") == F.col("w_tx"), "left_anti")
         .join(
             by_leg,
-            (F.col("tx_id") == F.col("r_tx")) & (F.col("to") == F.col("r_to")) & (F.col("asset") == F.col("r_asset")) & (F.col("from_transit") == F.col("r_transit")),
+            (F.col("tx_id") == F.col("r_tx")) & (F.col("to") == F.col("r_to")) & F.col("asset").eqNullSafe(F.col("r_asset")) & (F.col("from_transit") == F.col("r_transit")),
             "left_anti",
         )
         .drop("from_transit")

@@ -40,22 +40,24 @@ def shadow_send_antijoin(actions: DataFrame) -> DataFrame:
             "_out": leg_signatures(F.col("out")),
         }
     ).withColumn("_send", F.when(act.action_type() == "send", F.concat_ws("#", "_h", "_d", F.array_join("_in", ";"), F.array_join("_out", ";"))))
-    sends = marked.where("_send IS NOT NULL").select("_send", "_h", "_d", "_in", F.explode("_out").alias("_sig"))
+    sends = marked.where("_send IS NOT NULL").select("_send", "_h", "_d", "_in", F.explode("_out").alias("_sig")).distinct()
     others = marked.where("action_class <> 'transfers'").select(
         F.col("_h").alias("o_h"), F.col("_d").alias("o_d"), F.col("_in").alias("o_in"), F.explode("_out").alias("o_sig")
-    )
-    shadowed = (
-        sends.join(
-            others,
-            (F.col("_sig") == F.col("o_sig"))
-            & ((F.col("_h") == F.col("o_h")) | (F.col("_h") == "") | (F.col("o_h") == ""))
-            & ((F.col("_d") == F.col("o_d")) | (F.col("_d") == "") | (F.col("o_d") == ""))
-            & ((F.size("_in") == 0) | (F.size("o_in") == 0) | F.arrays_overlap("_in", "o_in")),
-            "left_semi",
-        )
-        .select(F.col("_send").alias("_shadowed"))
-        .distinct()
-    )
+    ).distinct()
+    shared_in = (F.size("_in") == 0) | (F.size("o_in") == 0) | F.arrays_overlap("_in", "o_in")
+    # a blank height or date matches any, so only rows that have one may be joined on it as well
+    parts = []
+    for by_height, by_date in ((True, True), (True, False), (False, True), (False, False)):
+        on = F.col("_sig") == F.col("o_sig")
+        left, right = sends, others
+        for used, mine, other in ((by_height, "_h", "o_h"), (by_date, "_d", "o_d")):
+            if used:
+                on &= F.col(mine) == F.col(other)
+                left, right = left.where(F.col(mine) != ""), right.where(F.col(other) != "")
+            else:
+                on &= (F.col(mine) == "") | (F.col(other) == "")
+        parts.append(left.join(right, on & shared_in, "left_semi").select(F.col("_send").alias("_shadowed")))
+    shadowed = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
     return marked.join(shadowed, F.col("_send") == F.col("_shadowed"), "left_anti").drop("_h", "_d", "_in", "_out", "_send")
 
 
@@ -123,7 +125,7 @@ def suppression_reasons(actions: DataFrame, rules: tuple[str, ...] = RULES, flag
         early = (F.col("_call").isin(K.STRATEGY_UPDATE, K.STRATEGY_EXECUTE, K.STRATEGY_REPLY) & F.col("process")) | (
             (F.col("_call") == K.STRATEGY_REPLY) & F.col("strategy")
         )
-        by_tx = F.when(swap & F.col("strategy"), "strategy_sub_swap").otherwise(by_tx)
+        by_tx = F.when(swap & F.col("strategy"), "calc_strategy_sub_swap").otherwise(by_tx)
     if "fee" in rules:
         by_tx = F.when(swap & F.col("fee"), "liquidity_fee_associated").otherwise(by_tx)
     if "refund" in rules:

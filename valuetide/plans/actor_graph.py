@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from valuetide import constants as K
 from valuetide.functions import actions as act
 from valuetide.functions.addresses import infer_chain
+from valuetide.functions.amounts import USD
 from valuetide.operators import aggregate as A
 from valuetide.operators import order as D
 from valuetide.operators import project as P
@@ -43,7 +44,7 @@ class Graph:
 def frontier_of(seeds: DataFrame) -> DataFrame:
     """Hop-0 frontier of seeds (chain, address, key), in key order."""
     return seeds.select(
-        "key", "address", F.struct(F.lit(0.0).alias("value"), F.col("key").alias("key")).alias("rank"), F.lit(1).alias("depth")
+        "key", "address", F.struct(F.lit(0).cast(USD).alias("value"), F.col("key").alias("key")).alias("rank"), F.lit(1).alias("depth")
     )
 
 
@@ -62,27 +63,57 @@ def endpoint_key(side: str) -> Column:
     return F.concat_ws("|", infer_chain(f"{side}_chain", f"{side}_address"), f"{side}_address")
 
 
-# --- touching the ledger -------------------------------------------------------------------
+# --- the ledger, projected once ---------------------------------------------------------------
 
 
-def touched_transfers(transfers: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(transfer columns, frontier item) of transfers with an end on the frontier.
+@dataclass
+class Drawn:
+    """A whole clean ledger as finished segments, and the frontier keys that reach each entry.
 
-    A frontier key with a chain reads that chain only; one without reads all.
+    ``ends``: look (a frontier key, with or without chain, or ``@`` and an address), uid.
     """
-    ends = F.array(
-        F.struct(F.concat_ws("|", "from_chain", "from").alias("_end")), F.struct(F.col("from").alias("_end")),
-        F.struct(F.concat_ws("|", "to_chain", "to").alias("_end")), F.struct(F.col("to").alias("_end")),
-    )
-    items = frontier.select(F.col("key").alias("_end"), F.struct("rank", "address", "depth").alias("item"))
-    return transfers.select("*", F.inline(ends)).join(items, "_end").drop("_end")
+
+    segments: DataFrame
+    ends: DataFrame
 
 
-def touched_actions(actions: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(uid, frontier item) pairs of actions with a leg on the frontier."""
-    items = frontier.select(F.col("address").alias("frontier_address"), F.struct("rank", "address", "depth").alias("item"))
+def transfer_ends(transfers: DataFrame) -> DataFrame:
+    """A frontier key with a chain reads that chain only; one without reads all."""
+    looks = F.array_distinct(F.array(F.concat_ws("|", "from_chain", "from"), F.col("from"), F.concat_ws("|", "to_chain", "to"), F.col("to")))
+    return transfers.select(F.explode(looks).alias("look"), transfer_key().alias("uid")).where("look IS NOT NULL")
+
+
+def action_ends(actions: DataFrame) -> DataFrame:
+    """Legs are met by address alone; an address that only collects fees does not meet the action."""
     slim = actions.select("uid", "action_class", "source_protocol", "in", "out").withColumn("frontier_address", F.explode(act.leg_addresses()))
-    return fee_only_frontier_filter(slim.join(items, "frontier_address")).select("uid", "item")
+    return fee_only_frontier_filter(slim).select(F.concat(F.lit("@"), "frontier_address").alias("look"), "uid")
+
+
+def draw(ledger: Ledger, flow_types: list[str] | None = None) -> Drawn:
+    """Project a clean ledger in one pass and write segments and ends, both of which every hop reads."""
+    segments, ends = [], []
+    if ledger.transfers is not None:
+        segments.append(P.project_transfers(ledger.transfers, ledger.book))
+        ends.append(transfer_ends(ledger.transfers))
+    if ledger.actions is not None:
+        segments.append(P.project_actions(ledger.actions, ledger.book, ledger.trace))
+        ends.append(action_ends(ledger.actions))
+    all_ = reduce(DataFrame.unionByName, segments)
+    if flow_types:
+        all_ = all_.where(F.col("action_class").isin(*flow_types))
+    looks = reduce(DataFrame.unionByName, ends).distinct()
+    return Drawn(cut_lineage(all_), cut_lineage(looks.repartitionByRange("look").sortWithinPartitions("look")))
+
+
+def touched(ends: DataFrame, frontier: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(uid, item) of entries that the frontier reaches and that no earlier hop has drawn.
+
+    Only the slim ends are joined with the frontier; whole rows are fetched by uid afterwards.
+    """
+    item = F.struct("rank", "address", "depth").alias("item")
+    looks = frontier.select(F.explode(F.array(F.col("key"), F.concat(F.lit("@"), "address"))).alias("look"), item)
+    pairs = ends.join(looks, "look").select("uid", "item").distinct()
+    return pairs if seen is None else pairs.join(seen, "uid", "left_anti")
 
 
 def frontier_step(segments: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
@@ -137,7 +168,7 @@ def frontier_top_k(stepped: DataFrame, queued: DataFrame, top_k: int | None) ->
         .agg(F.sum("usd").alias("usd"), F.min("address").alias("address"), F.min("depth").alias("depth"))
         .join(queued, "key", "left_anti")
     )
-    ranked = scored.select("key", "address", F.struct((-F.col("usd")).alias("value"), F.col("key").alias("key")).alias("rank"), "depth")
+    ranked = scored.select("key", "address", F.struct((-F.col("usd")).cast(USD).alias("value"), F.col("key").alias("key")).alias("rank"), "depth")
     return ranked.orderBy("rank").limit(top_k) if top_k else ranked
 
 
@@ -145,22 +176,25 @@ def frontier_top_k(stepped: DataFrame, queued: DataFrame, top_k: int | None) ->
 
 
 def clean_ledger(ledger: Ledger, start=None, end=None) -> tuple[Ledger, DataFrame | None]:
-    """Window, suppress, stitch and consume once over the whole ledger; also (reason, n) of what was dropped.
+    """Window, dedupe, suppress, stitch and consume once over the whole ledger; also (reason, n) of what was dropped.
 
-    Suppression sets come from the whole window, so the result does not depend on
-    the order in which the walk meets rows.
+    Repeats of one movement go first, so that stitching and consuming see each once. Suppression
+    sets come from the whole window, so the result does not depend on the order in which the walk
+    meets rows. Clean rows are written: every later step reads them.
     """
     transfers, actions, reasons = ledger.transfers, ledger.actions, None
     if transfers is not None:
-        transfers = time_window_filter(transfers, start, end)
+        transfers = D.dedupe_transfers(time_window_filter(transfers, start, end))
     if actions is not None:
+        if transfers is not None:
+            transfers = cut_lineage(transfers)
         actions = time_window_filter(actions, start, end, "ts")
-        actions = D.keep_best(actions, [F.col("uid").alias("_key")], F.struct("source_protocol", F.to_json(F.struct("in", "out"))))
-        flags = tx_flags(actions)
-        judged = suppression_reasons(actions, flags=flags)
+        actions = cut_lineage(D.keep_best(actions, [F.col("uid").alias("_key")], F.struct("source_protocol", F.to_json(F.struct("in", "out")))))
+        flags = cut_lineage(tx_flags(actions))
+        judged = cut_lineage(suppression_reasons(actions, flags=flags))
         dropped = [judged.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))]
         if transfers is not None:
-            marked = transfer_reasons(transfers, flags)
+            marked = cut_lineage(transfer_reasons(transfers, flags))
             dropped.append(marked.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))
             transfers = marked.where("reason IS NULL").drop("reason")
         reasons = reduce(DataFrame.unionByName, dropped)
@@ -171,76 +205,63 @@ def clean_ledger(ledger: Ledger, start=None, end=None) -> tuple[Ledger, DataFram
             directory = ledger.book.dims.directory
             stitched = stitch_inbound_legs(actions, transfers, directory).drop("stitched_legs")
             transfers, actions = consume_transfers(actions, transfers, directory), stitched
+        actions = cut_lineage(actions)
+    if transfers is not None:
+        transfers = cut_lineage(transfers)
     return Ledger(ledger.book, transfers, actions, ledger.trace), reasons
 
 
-def walk(ledger: Ledger, seeds: DataFrame, max_hops: int, top_k: int | None = 20, flow_types: list[str] | None = None) -> DataFrame:
+def walk(drawn: Drawn, seeds: DataFrame, max_hops: int, top_k: int | None = None) -> DataFrame:
     """Segments reached breadth-first from the seeds, each entry drawn by the first item to reach it.
 
-    Every hop scans the ledger with the current frontier joined in, and projects
-    only what it touches. Hop results are checkpointed.
+    The whole frontier is walked unless ``top_k`` asks for its most valuable part. Every hop joins
+    the frontier with the slim ends, then fetches what it touches; its rows and the next frontier
+    are written.
     """
-    hops = min(max(max_hops, 1), 8)
-    max_depth = hops + 1
+    if max_hops < 1:
+        raise ValueError("max_hops must be at least 1")
+    max_depth = max_hops + 1
     frontier = cut_lineage(frontier_of(seeds))
     queued = frontier.select("key")
-    drawn: list[DataFrame] = []
-    for hop in range(hops):
-        parts = []
-        seen = reduce(DataFrame.unionByName, [d.select("uid") for d in drawn]).distinct() if drawn else None
-        if ledger.transfers is not None and (not flow_types or "transfers" in flow_types):
-            near = touched_transfers(ledger.transfers, frontier).withColumn("uid", transfer_key())
-            pairs = near.groupBy("uid").agg(F.min("item").alias("item"))
-            best = D.dedupe_transfers(near.drop("item", "uid"))
-            segs = P.project_transfers(best, ledger.book)
-            if seen is not None:
-                segs = segs.join(seen, "uid", "left_anti")
-            parts.append(frontier_step(segs, pairs, max_depth))
-        if ledger.actions is not None:
-            pairs = touched_actions(ledger.actions, frontier)
-            if seen is not None:
-                pairs = pairs.join(seen, "uid", "left_anti")
-            touched = ledger.actions.join(pairs.select("uid").distinct(), "uid", "left_semi")
-            if flow_types:
-                touched = touched.where(F.col("action_class").isin(*flow_types))
-            parts.append(frontier_step(P.project_actions(touched, ledger.book, ledger.trace), pairs, max_depth))
+    parts: list[DataFrame] = []
+    for hop in range(max_hops):
+        seen = reduce(DataFrame.unionByName, [d.select("uid") for d in parts]).distinct() if parts else None
+        pairs = touched(drawn.ends, frontier, seen)
         step = cut_lineage(
-            reduce(DataFrame.unionByName, parts).withColumn(
+            frontier_step(drawn.segments, pairs, max_depth).withColumn(
                 "ord", F.col("ord").withField("hop", F.lit(hop)).withField("rank", F.col("item.rank"))
             )
         )
-        drawn.append(step)
-        if hop + 1 == hops:
+        parts.append(step)
+        if hop + 1 == max_hops:
             break
         frontier = cut_lineage(frontier_top_k(step, queued, top_k))
         if frontier.isEmpty():
             break
         queued = queued.unionByName(frontier.select("key"))
-    return truncate_to_depth(reduce(DataFrame.unionByName, drawn).drop("item", "candidate"), hops)
+    return truncate_to_depth(reduce(DataFrame.unionByName, parts).drop("item", "candidate"), max_hops)
 
 
 def assemble(segments: DataFrame, prices: DataFrame) -> Graph:
     """Nodes, edges, transactions and supporting actions of finished segments."""
-    kept = D.dedupe_canonical_swaps(segments)
-    tx_assets = A.edge_tx_assets(kept, prices)
-    return Graph(
-        kept, A.build_nodes(kept), A.build_edges(kept, tx_assets), A.edge_transactions(tx_assets), tx_assets, A.supporting_actions(kept)
-    )
+    kept = cut_lineage(D.dedupe_canonical_swaps(segments))
+    tx_assets = cut_lineage(A.edge_tx_assets(kept, prices))
+    txs = A.edge_transactions(tx_assets)
+    return Graph(kept, A.build_nodes(kept), A.build_edges(kept, tx_assets, txs), txs, tx_assets, A.supporting_actions(kept))
 
 
 def actor_flow_graph(
-    ledger: Ledger, actors: DataFrame, addresses: DataFrame, seeds: DataFrame, max_hops: int = 4, top_k: int | None = 20,
+    ledger: Ledger, actors: DataFrame, addresses: DataFrame, seeds: DataFrame, max_hops: int = 4, top_k: int | None = None,
     flow_types: list[str] | None = None, start=None, end=None,
 ) -> tuple[Graph, DataFrame | None]:
     """Ownership plus everything within ``max_hops`` of the actors' addresses; also suppression counts."""
     ready, reasons = clean_ledger(ledger, start, end)
-    segments = walk(ready, seeds, max_hops, top_k, flow_types)
+    segments = walk(draw(ready, flow_types), seeds, max_hops, top_k)
     owned = P.ownership_edges(actors, addresses, ledger.book.dims)
     return assemble(segments.unionByName(owned, allowMissingColumns=True), ledger.book.prices), reasons
 
 
-def expand_one_hop(ledger: Ledger, seeds: DataFrame, max_addresses: int = 64, flow_types: list[str] | None = None, start=None, end=None) -> Graph:
-    """One hop around at most ``max_addresses`` given addresses, without ownership."""
+def expand_one_hop(ledger: Ledger, seeds: DataFrame, flow_types: list[str] | None = None, start=None, end=None) -> Graph:
+    """One hop around all given addresses, without ownership."""
     ready, _ = clean_ledger(ledger, start, end)
-    chosen = seeds.orderBy("key").limit(max_addresses)
-    return assemble(walk(ready, chosen, 1, None, flow_types), ledger.book.prices)
+    return assemble(walk(draw(ready, flow_types), seeds, 1), ledger.book.prices)

@@ -1,8 +1,7 @@
-"""Session helpers: builder defaults, checkpointing and lineage cuts."""
+"""Session helpers: builder defaults and written intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,39 +22,39 @@ def local_session(cpus: str = "8", app: str = "valuetide") -> SparkSession:
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; invent one only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; below the warehouse where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="valuetide-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder so that loops keep short plans
-    and a lost executor re-reads instead of recomputing every earlier hop."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    Loops keep short plans, a lost executor re-reads instead of recomputing earlier
+    steps, and the optimizer knows the size of what was written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-_LANDED: dict[tuple[str, str], DataFrame] = {}
+_LANDED: dict[tuple[str, str], tuple[int, DataFrame]] = {}
 
 
 def land_once(spark: SparkSession, name: str, build) -> DataFrame:
-    """Write a derived table to the shared checkpoint folder once per application and read it back.
+    """A derived table, written when it is first asked for and again when its plan has changed.
 
-    Later queries scan columnar files with pruning and pushdown instead of deriving the rows again.
+    Inputs are taken to stay as they are while the application runs; ``forget_landed`` drops what is known.
     """
     key = (spark.sparkContext.applicationId, name)
-    if key not in _LANDED:
-        ensure_checkpoint_dir(spark)
-        path = f"{spark.sparkContext.getCheckpointDir()}/landed/{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        _LANDED[key] = spark.read.parquet(path)
-    return _LANDED[key]
+    df = build()
+    plan = df.semanticHash()
+    if key not in _LANDED or _LANDED[key][0] != plan:
+        _LANDED[key] = (plan, cut_lineage(df))
+    return _LANDED[key][1]
+
+
+def forget_landed() -> None:
+    _LANDED.clear()
