@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["columns", "classification", "movement", "graph"]
+GROUPS = ["columns", "classification", "movement", "graph", "tables", "display"]
 
 
 def load():

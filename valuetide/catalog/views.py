@@ -197,6 +197,25 @@ SELECT concat('TX', CAST(CAST(floor(l_orderkey / 4.0) AS BIGINT) AS STRING)) AS
        CASE WHEN l_returnflag = 'R' THEN concat('supp', CAST(l_suppkey AS STRING)) ELSE concat('supp', CAST(l_partkey % 100 AS STRING)) END AS to_addr,
        CASE WHEN l_linestatus = 'O' THEN 'THOR.RUNE' ELSE 'THOR.RUJI' END AS asset, CAST(round(l_extendedprice) AS BIGINT) AS amount_raw
 FROM lineitem""",
+    "v_member": """
+SELECT concat('supp', CAST(s_suppkey AS STRING)) AS address, p_partkey AS pool_id, CAST(s_suppkey * 37 AS STRING) AS units
+FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100""",
+    "v_balance": f"""
+SELECT concat('supp', CAST(l_suppkey AS STRING)) AS address, {ASSET} AS asset,
+       CASE WHEN l_linenumber = 6 THEN '0' WHEN l_linenumber = 7 THEN '' ELSE CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) END AS amount
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "v_utxo_stats": """
+SELECT concat('cust', CAST(c_custkey AS STRING)) AS address, 'BTC' AS chain, CAST(c_custkey * 10 AS STRING) AS chain_funded,
+       CAST(c_custkey * 3 AS STRING) AS mempool_funded, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey * 13 AS STRING) ELSE CAST(c_custkey AS STRING) END AS chain_spent,
+       CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey * 20 AS STRING) ELSE '0' END AS mempool_spent, CAST(c_custkey + 5 AS STRING) AS other
+FROM customer""",
+    "v_node_flat": """
+SELECT concat('thor1node', CAST(n_nationkey AS STRING)) AS node_address, CASE WHEN n_regionkey = 0 THEN ' Standby' WHEN n_regionkey = 1 THEN '' ELSE 'Active' END AS status,
+       CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE CAST((n_nationkey + 1) * 1000 AS STRING) END AS total_bond, CAST((n_nationkey + 1) * 100 AS STRING) AS bond,
+       CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE concat('thor1bond', CAST(n_nationkey AS STRING)) END AS bond_address FROM nation""",
+    "v_provider": """
+SELECT concat('thor1node', CAST(s_nationkey AS STRING)) AS node_address, concat('thor1bond', CAST(s_suppkey % 40 AS STRING)) AS bond_address,
+       CASE WHEN s_suppkey % 9 = 0 THEN '0' ELSE CAST(s_suppkey * 11 AS STRING) END AS bond FROM supplier""",
     "v_window": """
 SELECT concat('cust', CAST(o_custkey AS STRING)) AS address, o_orderkey AS window_id, o_orderkey % 5000 AS start_s,
        o_orderkey % 5000 + 50 + o_orderkey % 400 AS end_s, CAST(o_orderkey % 20 AS INT) AS max_pages,

@@ -58,6 +58,9 @@ def is_graphable(amount: Column | str) -> Column:
 
 
 def exact_floor_ratio(a: Column, b: Column, total: Column) -> Column:
-    """floor(a * b / total) for non-negative integers without losing digits."""
-    product = (a.cast("decimal(38,0)") * b.cast("decimal(38,0)")).cast("decimal(38,0)")
-    return F.when(total > 0, ((product - product % total) / total).cast(AMOUNT))
+    """floor(a * b / total) for non-negative integers without losing digits; the whole part of a / total is taken out first."""
+    a, b, total = (x.cast(AMOUNT) for x in (a, b, total))
+    rest = a % total
+    product = (rest * b).cast(AMOUNT)
+    whole = (((a - rest) / total).cast(AMOUNT) * b).cast(AMOUNT)
+    return F.when(total > 0, (whole + ((product - product % total) / total).cast(AMOUNT)).cast(AMOUNT))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valuetide.llm.common import stored
+from valuetide.session import cut_lineage
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -17,17 +17,17 @@ def _least(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node with a link; root is the smallest node that links reach.
 
-    ``links``: a, b (long; self links and repeats are harmless). Alternates two steps until
-    nothing changes: larger neighbours move to a node's smallest one, then smaller ones do. Each
-    step is written, so plans stay short and lost executors cost one step.
+    ``links``: a, b (of one orderable type; self links and repeats are harmless). Alternates two
+    steps until nothing changes: larger neighbours move to a node's smallest one, then smaller
+    ones do. Each round is written, so plans stay short and a lost executor costs one round.
     """
-    now = stored(links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
+    now = cut_lineage(links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
     known = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large)
-        now = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == known:
             break
