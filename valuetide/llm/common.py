@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from valuetide.session import cut_lineage as stored  # noqa: F401  every intermediate table is written by it
+
 #: A word: a run of bytes that are neither blank nor a control character from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,21 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; below the warehouse where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: later steps neither recompute them
-    nor depend on the executors that made them."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def running_before(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, name: str, own: str = "_bkt") -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows of the same ``keys`` that come earlier by (bucket, order).
 
@@ -140,3 +126,22 @@ def run_hashes(values: np.ndarray, width: int) -> np.ndarray:
     for j in range(1, width):
         out = mix64(out * np.uint64(_MULT) + values[j : n + j])
     return out
+
+
+def blocks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows that follow each other with one key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and keys[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valuetide.llm.common import stored
-from valuetide.llm.graph import components
+from valuetide.llm.common import blocks, stored
+from valuetide.operators.components import components
 
 SIMILARITY = 0.98
 #: Groups of projections. A pair that leaves its window in fewer projections than there are groups stays in it throughout one group.
@@ -88,25 +88,6 @@ def _assign(dims: int, count: int, groups: int, window: float):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows that follow each other with one key."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        if not len(keys):
-            continue
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and keys[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(dims: int, count: int, groups: int, window: float, similarity: float):
     each, needed = count // groups, count - groups + 1
 
@@ -114,7 +95,7 @@ def _compare(dims: int, count: int, groups: int, window: float, similarity: floa
         axes = projections(dims, count)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
-        for block in _blocks(batches, "task"):
+        for block in blocks(batches, "task"):
             got = _links_of(block, axes, each, needed, window, similarity)
             if got is not None:
                 out.append(got)

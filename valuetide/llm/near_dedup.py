@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,15 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valuetide.llm.common import mix64, run_hashes, span_hashes, stored, text_parts, word_bounds
-from valuetide.llm.graph import components
+from valuetide.llm.common import blocks, mix64, run_hashes, span_hashes, stored, text_parts, word_bounds
+from valuetide.operators.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and coordinates per band: two texts of similarity 0.8 share no band with probability (1 - 0.8^5)^24 < 1e-4.
 BANDS, ROWS = 24, 5
 
-_SKETCH = "doc_id long, text_key long, node long, bands array<long>"
+#: Nodes of a band, or of a loose class, that one task compares with so many others; larger ones are cut into chunks and compared chunk by chunk.
+CHUNK = 512
+#: Signatures must agree in so many standard deviations less than the similarity; a pair at the similarity fails that once in 10^5.
+SPARE = 4.3
+
+_SKETCH = "doc_id long, text_key long, node long, marks binary, bands array<long>"
+_STARS = "a long, b long"
 
 
 def shingle_weights(raw: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,23 +117,18 @@ def _sketch(bands: int, rows: int):
                 node = np.zeros(n, np.uint64)  # of all shingles with their weights, in any order
                 np.add.at(node, row, mix64(element * np.uint64(2) + weight.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * bands))), pa.int32()), pa.array(keys[has].reshape(-1).view(np.int64)))
+                marks = mix64(signature).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(mix64(node).view(np.int64), mask=~has), lists], ["doc_id", "text_key", "node", "bands"]
+                    [
+                        batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(mix64(node).view(np.int64), mask=~has),
+                        pa.array([m.tobytes() if h else None for m, h in zip(marks, has)], pa.binary()), lists,
+                    ],
+                    ["doc_id", "text_key", "node", "marks", "bands"],
                 )
 
     return run
 
 
-def _one(text: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    if text not in cache:
-        if len(cache) > 64:
-            cache.clear()
-        raw = np.frombuffer(text.encode(), np.uint8)
-        _, value, weight = shingle_weights(raw, np.array([0, len(raw)]))
-        cache[text] = (value, weight)
-    return cache[text]
-
-
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     shared = int(np.minimum(a[1][i], b[1][j]).sum())
@@ -134,25 +136,146 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / total if total else 0.0
 
 
-def _verify(similarity: float):
+def agreements(marks: np.ndarray, x: slice, y: slice) -> np.ndarray:
+    """How many coordinates of each row of x agree with each row of y."""
+    out = np.zeros((x.stop - x.start, y.stop - y.start), np.int16)
+    for k in range(marks.shape[1]):
+        out += marks[x, k][:, None] == marks[y, k][None, :]
+    return out
+
+
+def copies_apart(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first, second, ... occurrence of an element as elements of their own: sets whose Jaccard similarity is the weighted one."""
+    total = np.repeat(element, weight)
+    nth = np.arange(len(total)) - np.repeat(np.cumsum(weight) - weight, weight)
+    return mix64(total + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def shared_counts(sets: list[np.ndarray], x: slice, y: slice) -> np.ndarray:
+    """Elements that each set of x shares with each of y, through the elements that several sets have, some at a time."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[place] > 1
+    owner, place = owner[often], place[often]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], np.unique(place[order], return_inverse=True)[1]
+    out = np.zeros((x.stop - x.start, y.stop - y.start), np.float32)
+    step = 4096
+    edges = np.searchsorted(place, np.arange(0, (place[-1] if len(place) else -1) + step + 1, step))
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            block = np.zeros((n, step), np.float32)
+            block[owner[a:b], place[a:b] - place[a] // step * step] = 1
+            out += block[x] @ block[y].T
+    return out
+
+
+def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id that its links reach) of the ids that the links (i, j) touch."""
+    root = ids.copy()
+    while len(i):
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        if (root == before).all():
+            break
+    touched = np.unique(np.concatenate((i, j)))
+    return ids[touched], root[touched]
+
+
+def _rows_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray, slice, slice, bool]:
+    """(ids, marks, first side, second side, one chunk only) of a task's rows, ordered by side."""
+    side, ids = block.column("side").to_numpy(), block.column("node").to_numpy()
+    marks = np.frombuffer(b"".join(block.column("marks").to_pylist()), np.uint16).reshape(len(ids), -1)
+    alone = bool((side == 2).any())
+    cut = len(ids) if alone else int((side == 0).sum())
+    return ids, marks, slice(0, cut), slice(0, len(ids)) if alone else slice(cut, len(ids)), alone
+
+
+def _loose_links(rows: int, least: int):
+    """Stars of pairs that share a band and agree in ``least`` coordinates, each pair in the first band that it shares."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
-                good = [weighted_jaccard(_one(x, cache), _one(y, cache)) >= similarity for x, y in zip(left, right)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        held, size = [], 0
+        for block in blocks(batches, "task"):
+            block = block.sort_by([("side", "ascending"), ("node", "ascending")])
+            band = int(block.column("no")[0].as_py())
+            ids, marks, x, y, alone = _rows_of(block)
+            for a in range(x.start, x.stop, 256):
+                part = slice(a, min(a + 256, x.stop))
+                first = np.ones((part.stop - a, y.stop - y.start), bool)
+                for k in range(band):  # an earlier band that they share too has had them
+                    first &= ~(marks[part, None, k * rows : (k + 1) * rows] == marks[None, y, k * rows : (k + 1) * rows]).all(axis=2)
+                ok = first & (agreements(marks, part, y) >= least)
+                if alone:
+                    ok &= np.arange(part.start, part.stop)[:, None] < np.arange(y.start, y.stop)[None, :]
+                i, j = np.nonzero(ok)
+                if len(i):
+                    held.append(stars(ids, i + a, j + y.start))
+                    size += len(held[-1][0])
+            if size > 50_000:
+                yield _star_batch(held)
+                held, size = [], 0
+        if held:
+            yield _star_batch(held)
 
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the similarity."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return stored(both.mapInArrow(_verify(similarity), "a long, b long"))
+def _exact_links(similarity: float, least: int):
+    """Stars of pairs of one loose class whose whole texts reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for block in blocks(batches, "task"):
+            block = block.sort_by([("side", "ascending"), ("node", "ascending")])
+            ids, marks, x, y, alone = _rows_of(block)
+            close = agreements(marks, x, y) >= least
+            if alone:
+                close &= np.arange(x.stop)[:, None] < np.arange(y.stop)[None, :]
+            i, j = np.nonzero(close)
+            if not len(i):
+                continue
+            sets: list[np.ndarray] = []
+            for _, _, raw, offsets in text_parts(block.column("text")):
+                row, element, weight = shingle_weights(raw, offsets)
+                edge = np.searchsorted(row, np.arange(len(offsets)))
+                sets += [copies_apart(element[a:b], weight[a:b]) for a, b in zip(edge, edge[1:])]
+            length = np.array([len(s) for s in sets])
+            if len(i) > 500:
+                shared = shared_counts(sets, x, y)[i, j].astype(np.int64)
+            else:
+                shared = np.array([len(np.intersect1d(sets[a], sets[b + y.start], assume_unique=True)) for a, b in zip(i, j)])
+            j = j + y.start
+            good = shared >= similarity * (length[i] + length[j] - shared) - 1e-9
+            if good.any():
+                held.append(stars(ids, i[good], j[good]))
+                size += len(held[-1][0])
+            if size > 50_000:
+                yield _star_batch(held)
+                held, size = [], 0
+        if held:
+            yield _star_batch(held)
+
+    return run
+
+
+def _star_batch(held: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b"])
+
+
+def dealt_in_chunks(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """``rows`` for each pair of chunks of their group: task, side (0 and 1: first and second chunk, 2: one chunk with itself).
+
+    Groups of one row are dropped. A group of up to ``chunk`` rows is one task; a larger one is
+    dealt to a task for each pair of its chunks, so no task holds more than two chunks.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.ceil(F.col("_n") / chunk).alias("_chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("_chunks"))
+    each = rows.join(sizes, keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), 2).otherwise((F.col("_own") > F.col("_other")).cast("int"))
+    return each.withColumn("task", F.xxhash64(*keys, F.least("_own", "_other"), F.greatest("_own", "_other"))).withColumn("side", side).drop("_own", "_other", "_chunks")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,42 +283,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     Two texts are linked when the weighted Jaccard similarity of their five-word shingles (weight:
     occurrences; words are unchanged) reaches ``similarity``; classes are what links join. Texts
-    with the same shingles are one node from the start. Nodes that share a band are compared: all
-    with the band's smallest node first, then, across those that this has not joined, all that
-    remain; pairs inside one class are never made. Every candidate is checked on the whole texts.
+    with the same shingles are one node from the start. Nodes that share a band and whose
+    signatures agree well enough form loose classes; inside those every pair whose signatures agree is
+    checked on the whole texts. Tasks return for each node the smallest one that it reaches, never
+    pairs; large bands and loose classes are compared chunk by chunk in many tasks.
 
     A text without words (null, empty, blank) is a class of its own row. Repeated rows fall into
     one class; of rows that repeat the kept id, all are kept. Other columns are ignored. An empty
-    table gives an empty result. Two shuffles of the texts of candidates only; a band that many
-    nodes share is aggregated before it is shuffled and never gathered.
+    table gives an empty result. Only candidates' texts are kept after the one shuffle of the texts.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
     sketch = stored(keyed.mapInArrow(_sketch(bands, rows), _SKETCH))
-    firsts = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n"))
+    count = bands * rows
+    least = math.ceil(count * similarity - SPARE * math.sqrt(count * similarity * (1 - similarity)))
+    firsts = sketch.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     nodes = stored(firsts.select("node", "first.doc_id", "first.text_key"))
-    banded = sketch.join(nodes.select("node", "doc_id", "text_key"), ["node", "doc_id", "text_key"], "left_semi").select("node", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(banded.join(shared, "band"))
-    wanted = members.select("node").distinct().join(nodes, "node")
-    plain = keyed.where("text IS NOT NULL")
-    same = (F.col("w.doc_id").eqNullSafe(F.col("k.doc_id"))) & (F.col("w.text_key") == F.col("k.text_key"))
-    texts = stored(plain.alias("k").join(wanted.alias("w"), same).select("w.node", "k.text").groupBy("node").agg(F.min("text").alias("text")))
-
-    tried = stored(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = _linked(tried, texts, similarity)
-    roots = components(links)
-    rooted = stored(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
-    sides = rooted.select("band", "root").distinct()
-    split = sides.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    open_sides = stored(sides.join(split, "band"))
-    facing = open_sides.alias("x").join(open_sides.alias("y"), "band").where("x.root < y.root").select("band", F.col("x.root").alias("root"), F.col("y.root").alias("other"))
-    across = facing.join(rooted.select("band", "root", F.col("node").alias("x")), ["band", "root"])
-    across = across.drop("root").withColumnRenamed("other", "root").join(rooted.select("band", "root", F.col("node").alias("y")), ["band", "root"])
-    rest = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_linked(rest, texts, similarity))
-    roots = components(links)
-
-    rooted = sketch.drop("bands").join(roots, "node", "left")
+    own = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("doc_id", "text_key", "node")]
+    marked = stored(sketch.alias("s").join(nodes.alias("n"), own, "left_semi").dropDuplicates(["node"]).select("node", "marks", "bands"))
+
+    banded = marked.select("node", "marks", F.posexplode("bands").alias("no", "band"))
+    tasks = dealt_in_chunks(banded, ["no", "band"], CHUNK).select("task", "side", "no", "node", "marks")
+    loose = components(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_loose_links(rows, least), _STARS))
+
+    wanted = stored(loose.join(marked.select("node", "marks"), "node").join(nodes, "node"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("w.text_key") == F.col("k.text_key"))
+    texts = keyed.where("text IS NOT NULL").alias("k").join(wanted.alias("w"), same).select("w.node", "w.root", "w.marks", "k.text").dropDuplicates(["node"])
+    tasks = dealt_in_chunks(stored(texts), ["root"], CHUNK).select("task", "side", "node", "marks", "text")
+    roots = components(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_exact_links(similarity, least), _STARS))
+
+    rooted = sketch.drop("bands", "marks").join(roots, "node", "left")
     # a text without words stands alone; the others by their class
     classed = rooted.withColumn("class", F.coalesce("root", "node"))
     sizes = classed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

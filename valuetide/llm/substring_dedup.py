@@ -19,7 +19,7 @@ GRAM = 6
 #: Words of segments that share an FM-index.
 SHARD_WORDS = 300_000
 
-_ANCHORS = "anchor long, doc_id long, text_key long, pos int, kind int"
+_ANCHORS = "anchor long, doc_id long, pos int, kind int"
 _SEGMENTS = "anchor long, doc_id long, text_key long, start int, windows int, words string"
 _SPANS = "doc_id long, text_key long, start int, stop int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -77,7 +77,7 @@ def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, anchors, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for at, _, raw, offsets in text_parts(batch.column(2)):
+            for at, _, raw, offsets in text_parts(batch.column(1)):
                 (row, anchor, place, _, _), _, _, first = segments_of(raw, offsets, window, gram)
                 rows.append(row + at)
                 anchors.append(anchor)
@@ -88,12 +88,11 @@ def _anchor_rows(window: int, gram: int):
             same = anchor[1:] == anchor[:-1]
             again, many = np.append(False, same), np.append(same, False)
             kind = np.where(again, 2, np.where(many, 1, 0))[: len(row)].astype(np.int32)
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a in range(0, len(row), 100_000):
                 s = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[s].view(np.int64)), pa.array(ids[row[s]]), pa.array(keys[row[s]]), pa.array(place[s].astype(np.int32)), pa.array(kind[s])],
-                    ["anchor", "doc_id", "text_key", "pos", "kind"],
+                    [pa.array(anchor[s].view(np.int64)), pa.array(ids[row[s]]), pa.array(place[s].astype(np.int32)), pa.array(kind[s])], ["anchor", "doc_id", "pos", "kind"]
                 )
 
     return run
@@ -104,36 +103,47 @@ def _segment_rows(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            lists = batch.column(3)
+            ids, keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3)
+            parts, texts = [], []
             for at, end, raw, offsets in text_parts(batch.column(2)):
                 (row, anchor, place, start, windows), starts, ends, first = segments_of(raw, offsets, window, gram)
                 wanted = np.zeros(len(starts) + 1, bool)
                 for r in range(end - at):
-                    wanted[np.array(lists[at + r].as_py(), np.int64) + first[r]] = True
+                    places = np.array(lists[at + r].as_py(), np.int64) + first[r]
+                    wanted[places[places < first[r + 1]]] = True  # other texts of the same id may be longer
                 keep = np.flatnonzero(wanted[place])
                 row, anchor, start, windows = row[keep], anchor[keep], start[keep], windows[keep]
-                # equal words: the earliest by (document, start) keeps them
                 last = start + windows + window - 2
-                words = span_hashes_of_runs(raw, starts, ends, start, last)
-                doc, own = ids[at + row], start - first[row]
-                order = np.lexsort((own, doc, words))
-                row, anchor, start, windows, last, words, doc, own = (x[order] for x in (row, anchor, start, windows, last, words, doc, own))
-                again = np.zeros(len(row), bool)
-                leader = 0
-                for k in range(1, len(row)):
-                    if words[k] == words[leader] and windows[k] == windows[leader]:
-                        again[k] = (doc[leader], own[leader]) < (doc[k], own[k])
-                    else:
-                        leader = k
+                parts.append((row + at, anchor, start - first[row], windows, span_hashes_of_runs(raw, starts, ends, start, last)))
                 data = raw.tobytes()
-                texts = [None if a else data[starts[s] : ends[e]].decode() for a, s, e in zip(again, start, last)]
-                for a in range(0, len(row), 20_000):
-                    s = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[s].view(np.int64)), pa.array(doc[s]), pa.array(keys[at + row[s]]), pa.array(own[s].astype(np.int32)), pa.array(windows[s].astype(np.int32)), pa.array(texts[s], pa.string())],
-                        ["anchor", "doc_id", "text_key", "start", "windows", "words"],
-                    )
+                texts += [data[s:e] for s, e in zip(starts[start], ends[last])]
+            if not texts:
+                continue
+            row, anchor, own, windows, words = (np.concatenate(x) for x in zip(*parts))
+            doc = ids[row]
+            # equal words: the earliest by (document, start) keeps them
+            order = np.lexsort((own, doc, windows, words))
+            new = np.ones(len(order), bool)
+            new[1:] = (words[order[1:]] != words[order[:-1]]) | (windows[order[1:]] != windows[order[:-1]])
+            leader = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            again = np.zeros(len(order), bool)
+            again[order] = (doc[order] != doc[leader]) | (own[order] != own[leader])
+            kept = np.flatnonzero(~again)
+            # the others need no shard: those that follow each other are joined, and dealt out by document
+            late = np.flatnonzero(again)
+            late = late[np.lexsort((own[late], row[late]))]
+            split = np.ones(len(late), bool)
+            split[1:] = (row[late[1:]] != row[late[:-1]]) | (own[late[1:]] > own[late[:-1]] + windows[late[:-1]])
+            heads, tails = late[split], late[np.append(np.flatnonzero(split)[1:] - 1, len(late) - 1)] if len(late) else late
+            spread = mix64(doc[heads].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + own[heads].astype(np.uint64))
+            out = [
+                np.concatenate((anchor[kept], spread)).view(np.int64), np.concatenate((doc[kept], doc[heads])), keys[np.concatenate((row[kept], row[heads]))],
+                np.concatenate((own[kept], own[heads])).astype(np.int32), np.concatenate((windows[kept], own[tails] + windows[tails] - own[heads])).astype(np.int32),
+            ]
+            lines = [texts[k].decode() for k in kept] + [None] * len(heads)
+            for a in range(0, len(lines), 20_000):
+                s = slice(a, a + 20_000)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[s]) for c in out], pa.array(lines[s], pa.string())], ["anchor", "doc_id", "text_key", "start", "windows", "words"])
 
     return run
 
@@ -328,12 +338,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     document or an earlier start.
     """
     keyed = _keyed(docs, id_col, text_col)
-    anchors = stored(keyed.select("doc_id", "text_key", "text").mapInArrow(_anchor_rows(window, gram), _ANCHORS))
+    anchors = stored(keyed.select("doc_id", "text").mapInArrow(_anchor_rows(window, gram), _ANCHORS))
     # counted over one row an anchor and batch, so no anchor is hot
     seen = anchors.where("kind < 2").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
-    shared = seen.where("n > 1 OR kind = 1").select("doc_id", "text_key", "pos").unionByName(anchors.where("kind = 2").select("doc_id", "text_key", "pos"))
-    wanted = shared.groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("places"))  # one text's own places
-    texts = keyed.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places")
+    shared = seen.where("n > 1 OR kind = 1").select("doc_id", "pos").unionByName(anchors.where("kind = 2").select("doc_id", "pos"))
+    wanted = shared.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))  # one document's own places
+    texts = keyed.join(wanted, "doc_id").select("doc_id", "text_key", "text", "places")
     segments = texts.mapInArrow(_segment_rows(window, gram), _SEGMENTS)
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     return dealt.mapInArrow(_search_shards(window, shard_words), _SPANS)
@@ -350,8 +360,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     gives an empty result, a text of any length is one row's work.
     """
     spans = repeated_spans(docs, window, id_col=id_col, text_col=text_col)
-    by_text = spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    by_id = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "stop")).alias("spans"))
     keyed = _keyed(docs, id_col, text_col)
-    rows = keyed.join(by_text, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    mine = F.filter("spans", lambda s: s["text_key"] == F.col("text_key"))
+    rows = keyed.join(by_id, "doc_id", "left").select("doc_id", "text", mine.alias("spans"))
     done = rows.mapInArrow(_digest, _RESULT)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

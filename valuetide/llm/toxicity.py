@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the learning sample: documents per flag.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1500
 #: A feature is used if so many sample documents have it, if its share differs between flags by so many standard errors and by such a factor.
 LEAST_DOCS, LEAST_Z, LEAST_RATIO = 5, 4.0, 3.0
 #: Letters of a word's stem feature.
@@ -54,12 +54,12 @@ class OrdinalModel:
         return float(above.sum()), float(above[0]), int(each.argmax())
 
 
-def select_features(rows: list[set[str]], flags: np.ndarray) -> list[str]:
-    """Features that differ clearly between flagged and other documents."""
+def select_features(texts: list[str | None], flags: np.ndarray) -> list[str]:
+    """Features that differ clearly between flagged and other documents. Only counts are held, not the documents' features."""
     n1, n0 = int(flags.sum()), int((~flags).sum())
     with_flag, without = Counter(), Counter()
-    for row, flag in zip(rows, flags):
-        (with_flag if flag else without).update(row)
+    for text, flag in zip(texts, flags):
+        (with_flag if flag else without).update(features_of(text))
     chosen = []
     for name in with_flag.keys() | without.keys():
         a, b = with_flag[name], without[name]
@@ -116,17 +116,16 @@ def fit(texts: list[str | None], flags: list[bool], grades: list[int] | None = N
     flag = np.array(flags, bool)
     if not flag.any() or flag.all():
         return OrdinalModel()
-    rows = [features_of(t) for t in texts]
-    chosen = select_features(rows, flag)
+    chosen = select_features(texts, flag)
     place = {name: k for k, name in enumerate(chosen)}
-    found = [sorted(place[x] for x in r if x in place) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+    found = [sorted(place[x] for x in features_of(t) if x in place) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
     col = np.array([k for f in found for k in f], int)
     rising = np.array([0.0] * len(chosen))
     share = flag.mean()
     if len(col):
         rising = (np.bincount(col, flag[row], len(chosen)) / np.bincount(col, minlength=len(chosen)) > share).astype(float)
-    hits = np.bincount(row, rising[col] if len(col) else None, len(rows))
+    hits = np.bincount(row, rising[col] if len(col) else None, len(texts))
     graded = np.array(grades, int) if grades is not None else grades_from_flags(hits, flag)
     weights, cuts = fit_ordinal(row, col, len(chosen), graded)
     return OrdinalModel({name: float(w) for name, w in zip(chosen, weights)}, [float(c) for c in cuts])
