@@ -29,13 +29,14 @@ def _(spark, sf):
     return _kept(spark, sf).select("edge_id", "tx_id", money())
 
 
-_CHAINS = ("FRANCE", "CHINA", "KENYA")
+_CHAINS = ("NATION_3", "NATION_11", "NATION_20")
 _EDGE_CHAIN = "ec AS (SELECT edge_id, min(chain) AS chain FROM seg GROUP BY edge_id)"
 
 
 @query("filter_edges_by_chain_type", f"WITH {GRAPH}, {_EDGE_CHAIN} SELECT ed.edge_id FROM ed JOIN ec ON ec.edge_id = ed.edge_id WHERE chain IN {_CHAINS}")
 def _(spark, sf):
-    chain = segments(spark, sf).groupBy(A.edge_key().alias("edge_id")).agg(F.min("dst_chain").alias("to_chain"))
+    edge = F.concat_ws("|", "from_addr", "to_addr", F.lit("tracker.transfer"))
+    chain = V.view(spark, sf, "v_transfer").groupBy(edge.alias("edge_id")).agg(F.min("chain").alias("to_chain"))
     rows = edges(spark, sf).join(chain, "edge_id").withColumn("from_chain", F.lit(None).cast("string"))
     return Y.filter_edges_by_chain_type(rows, ["transfer"], list(_CHAINS)).select("edge_id")
 
@@ -105,7 +106,7 @@ def _(spark, sf):
     return Y.ownership_visible(owned, shown, shown.select("key", F.col("key").alias("mapped")))
 
 
-@query("filter_supporting_actions", f"WITH {GRAPH} SELECT tx_id, from_addr AS src_key, to_addr AS dst_key FROM (SELECT tx_id, from_addr, to_addr, sum(usd) AS usd, min(time) AS time FROM seg GROUP BY 1, 2, 3) x WHERE {_IN}")
+@query("filter_supporting_actions", f"WITH {GRAPH} SELECT tx_id, from_addr AS src_key, to_addr AS dst_key FROM (SELECT tx_id, from_addr, to_addr, sum(usd) AS usd, max(time) AS time FROM seg GROUP BY 1, 2, 3) x WHERE {_IN}")
 def _(spark, sf):
     return Y.filter_supporting_actions(A.supporting_actions(segments(spark, sf)), ["transfer"], START, END, LOW, HIGH).select("tx_id", "src_key", "dst_key")
 

@@ -133,8 +133,10 @@ def edge_labels(edges: DataFrame) -> DataFrame:
 
 
 def trimmed_amount(raw: Column) -> Column:
-    """1e8-scale amount as decimal text without trailing zeros."""
-    text = (raw.cast("decimal(38,0)") / F.lit(100_000_000).cast("decimal(9,0)")).cast("decimal(38,8)").cast("string")
+    """Non-negative 1e8-scale amount as decimal text without trailing zeros."""
+    digits = raw.cast("decimal(38,0)").cast("string")
+    padded = F.when(F.length(digits) < 9, F.lpad(digits, 9, "0")).otherwise(digits)
+    text = F.concat(F.left(padded, F.length(padded) - 8), F.lit("."), F.right(padded, F.lit(8)))
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
 
 
@@ -142,7 +144,7 @@ def swap_summary(tx_assets: DataFrame) -> DataFrame:
     """``edge_id, summary``: the largest asset in, the largest out, and how many more there are on each side."""
     totals = tx_assets.where("direction IN ('in', 'out')").groupBy("edge_id", "direction", "asset").agg(F.sum("amount_raw").alias("amount"), F.sum("usd_spot").alias("usd"))
     order = F.struct("usd", "amount", "asset")
-    side = totals.groupBy("edge_id").pivot("direction", ["in", "out"]).agg(F.max_by("asset", order).alias("asset"), F.max_by("amount", order).alias("amount"), F.count("*").alias("n"))
+    side = totals.groupBy("edge_id").pivot("direction", ["in", "out"]).agg(F.max_by("asset", order).alias("asset"), F.max_by("amount", order).alias("amount"), F.count("asset").alias("n"))
 
     def text(name: str) -> Column:
         more = F.when(F.col(f"{name}_n") > 1, F.concat(F.lit(" +"), (F.col(f"{name}_n") - 1).cast("string"))).otherwise("")

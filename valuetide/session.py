@@ -40,21 +40,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_LANDED: dict[tuple[str, str], tuple[int, DataFrame]] = {}
+_LANDED: dict[tuple[str, str], DataFrame] = {}
 
 
 def land_once(spark: SparkSession, name: str, build) -> DataFrame:
-    """A derived table, written when it is first asked for and again when its plan has changed.
+    """A derived table, written when it is first asked for in an application.
 
-    Inputs are taken to stay as they are while the application runs; ``forget_landed`` drops what is known.
+    ``name`` says what the rows are derived from (its folder included). Inputs are taken to stay
+    as they are; call ``forget_landed`` when they change.
     """
     key = (spark.sparkContext.applicationId, name)
-    df = build()
-    plan = df.semanticHash()
-    if key not in _LANDED or _LANDED[key][0] != plan:
-        _LANDED[key] = (plan, cut_lineage(df))
-    return _LANDED[key][1]
+    if key not in _LANDED:
+        _LANDED[key] = cut_lineage(build())
+    return _LANDED[key]
 
 
 def forget_landed() -> None:
+    """Derive every landed table anew at its next use."""
     _LANDED.clear()
