@@ -73,7 +73,8 @@ class CrossParser:
                 table[state, list(out)] = list(out.values())
             start = np.where(table[0] < 0, 0, table[0])
             missing = table < 0
-            flat = np.where(missing, start[None, :], table) * self.width * 2 + missing
+            missing[0] = True  # a phrase begins at the start state
+            flat = np.where(table < 0, start[None, :], table) * self.width * 2 + missing
             self.tables.append(flat.astype(np.int32).reshape(-1))
             self.cost.append(float(np.log2(len(symbols) + 2)))
 
@@ -101,7 +102,7 @@ class CrossParser:
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")
         out = np.zeros((len(self.langs), n), np.int64)
         states = [np.zeros(len(row), np.int32) for _ in self.langs]
-        counts = [np.ones(len(row), np.int32) for _ in self.langs]
+        counts = [np.zeros(len(row), np.int32) for _ in self.langs]
         for j in range(int(size[0]) if len(size) else 0):
             m = int(active[j])
             c = symbols[start[:m] + j].astype(np.int32)
