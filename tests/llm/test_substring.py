@@ -54,8 +54,10 @@ def test_backward_search():
     text[-1] = 0
     index = FMIndex(text, 6)
     at = np.array([k for k in range(294) if 0 not in text[k : k + 6]])
-    got = index.earliest(text, at, 6)
-    for k, e in zip(at, got):
+    hit, low, _ = index.search(text, at, 6)
+    first = dict(zip(at[hit].tolist(), index.places[low].tolist()))
+    for k in at.tolist():
+        e = first.get(k, -1)
         where = [j for j in range(295) if (text[j : j + 6] == text[k : k + 6]).all()]
         assert e == (where[0] if len(where) > 1 else -1)
 
