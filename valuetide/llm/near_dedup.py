@@ -185,7 +185,7 @@ def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _rows_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray, slice, slice, bool]:
-    """(ids, marks, first side, second side, one chunk only) of a task's rows, ordered by side."""
+    """(ids, marks, first side, second side, one chunk only) of a task's rows, ordered by side and node."""
     side, ids = block.column("side").to_numpy(), block.column("node").to_numpy()
     marks = np.frombuffer(b"".join(block.column("marks").to_pylist()), np.uint16).reshape(len(ids), -1)
     alone = bool((side == 2).any())
@@ -230,6 +230,8 @@ def _exact_links(similarity: float, least: int):
         held, size = [], 0
         for block in blocks(batches, "task"):
             block = block.sort_by([("side", "ascending"), ("node", "ascending")])
+            node = block.column("node").to_numpy()
+            block = block.take(pa.array(np.flatnonzero(np.append(True, node[1:] != node[:-1]))))  # repeated rows bring a text again
             ids, marks, x, y, alone = _rows_of(block)
             close = agreements(marks, x, y) >= least
             if alone:
@@ -301,14 +303,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     own = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("doc_id", "text_key", "node")]
     marked = stored(sketch.alias("s").join(nodes.alias("n"), own, "left_semi").dropDuplicates(["node"]).select("node", "marks", "bands"))
 
-    banded = marked.select("node", "marks", F.posexplode("bands").alias("no", "band"))
-    tasks = dealt_in_chunks(banded, ["no", "band"], CHUNK).select("task", "side", "no", "node", "marks")
+    banded = marked.select("node", F.posexplode("bands").alias("no", "band"))
+    # signatures join only the rows of shared bands
+    tasks = dealt_in_chunks(banded, ["no", "band"], CHUNK).select("task", "side", "no", "node").join(marked.select("node", "marks"), "node")
     loose = components(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_loose_links(rows, least), _STARS))
 
     wanted = stored(loose.join(marked.select("node", "marks"), "node").join(nodes, "node"))
     same = F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("w.text_key") == F.col("k.text_key"))
-    texts = keyed.where("text IS NOT NULL").alias("k").join(wanted.alias("w"), same).select("w.node", "w.root", "w.marks", "k.text").dropDuplicates(["node"])
-    tasks = dealt_in_chunks(stored(texts), ["root"], CHUNK).select("task", "side", "node", "marks", "text")
+    dealt = dealt_in_chunks(wanted, ["root"], CHUNK)
+    tasks = keyed.where("text IS NOT NULL").alias("k").join(dealt.alias("w"), same).select("w.task", "w.side", "w.node", "w.marks", "k.text")
     roots = components(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_exact_links(similarity, least), _STARS))
 
     rooted = sketch.drop("bands", "marks").join(roots, "node", "left")
