@@ -205,9 +205,8 @@ class FMIndex:
         """Suffixes that begin with the symbol before one that stands before ``at``."""
         return self.below[symbol] + self._through(symbol, at) - self.first[symbol]
 
-    def earliest(self, text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-        """First place of text[at : at + length] for every ``at``, or -1 if it stands nowhere but there."""
-        out = np.full(len(at), -1, np.int64)
+    def search(self, text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(indices k for which text[at[k] : at[k] + length] stands elsewhere too, first and end of their range in ``places``)."""
         alive = np.arange(len(at))
         low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.places), np.int64)
         for j in range(length - 1, -1, -1):
@@ -215,8 +214,7 @@ class FMIndex:
             low, high = self.step(symbol, low), self.step(symbol, high)
             more = high - low > 1
             alive, low, high = alive[more], low[more], high[more]
-        out[alive] = self.places[low]
-        return out
+        return alive, low, high
 
 
 def repeated_windows(segments: list[tuple], window: int) -> list[tuple]:
@@ -253,13 +251,18 @@ def repeated_windows(segments: list[tuple], window: int) -> list[tuple]:
     owner = np.repeat(np.arange(len(left)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     base = np.array(starts)
-    found = index.earliest(text, base[owner] + nth, window)
-    hit = np.flatnonzero(found >= 0)
-    source = np.searchsorted(base, found[hit], side="right") - 1
-    for k, at, src in zip(hit.tolist(), found[hit].tolist(), source.tolist()):
-        mine, other = left[owner[k]], left[src]
+    hit, low, high = index.search(text, base[owner] + nth, window)
+    # segments stand by document and start, so the first place is the earliest one, unless a document has several texts
+    several = len({(s[0], s[3]) for s in left}) > len({s[0] for s in left})
+
+    def standing(at: int) -> tuple:
+        src = int(np.searchsorted(base, at, side="right")) - 1
+        return left[src][0], left[src][1] + at - starts[src]
+
+    for k, a, b in zip(hit.tolist(), low.tolist(), high.tolist()):
+        mine = left[owner[k]]
         begin = mine[1] + int(nth[k])
-        if (other[0], other[1] + at - starts[src]) < (mine[0], begin):
+        if any(standing(int(at)) < (mine[0], begin) for at in index.places[a : b if several else a + 1]):
             out.append((mine[0], mine[3], begin, begin + window))
     return out
 
