@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from valuetide.llm.common import stored
 
-#: A candidate: a run of at least so many of these characters with a digit in it.
+#: A candidate: a run of at least so many of these characters with a digit in it, of a known format, or named as a secret.
 LEAST_LENGTH = 12
 _RUN = rf"[A-Za-z0-9+/_=.@:-]{{{LEAST_LENGTH},}}"
 #: Bound of the learning sample: findings per label.
@@ -20,6 +20,12 @@ TREES, DEPTH = 24, 6
 # Formats of known secrets (one whole candidate), words and formats that name what follows.
 FORMATS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_live_[A-Za-z0-9]{16,}$|^xox[abp]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$"
 NAMES = r"(?i)(password|passwd|secret|token|api_?key|private_?key|credential)"
+#: The same formats wherever they stand in a run.
+_KNOWN = "(?<![A-Za-z0-9])(?:" + FORMATS.replace("^", "").replace("$", "") + ")(?![A-Za-z0-9])"
+#: The name of a value, at the end of the text before it: name=", "name":", <name>.
+_NAME_BEFORE = r"([A-Za-z0-9_.-]+)[^A-Za-z0-9,;&]*[=:>][^A-Za-z0-9,;&]*$"
+#: Names at the head of a run.
+_NAMES_INSIDE = r"^[^A-Za-z]*((?:[A-Za-z_]+[=:]+)+)"
 #: Formats that are known not to be secrets.
 HARMLESS = r"^[0-9.:/+-]+$|^[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+$|^(https?:)?//"
 
@@ -31,14 +37,25 @@ def _strip(word: Column) -> Column:
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """``doc_id, word_no, candidate, before, named, after, path``: every candidate with its neighbouring words.
+    """``doc_id, word_no, run_no, candidate, before, named, assigned, after, path``: every candidate with its neighbouring words.
 
-    A word is what stands between blanks; ``name=value`` is split at the sign. ``named`` says that the value's own name, or
-    one of the two words before, names a secret.
+    A word is what stands between blanks; each of its runs gives a candidate (``run_no`` counts
+    them from 0), ``name=value`` is split at the sign, and what has a known format inside a longer
+    run is a candidate too. ``assigned`` says that a name of a secret is given to the value, before
+    it in the word or by a sign at the end of the word before; ``named`` also that one of the two
+    words before has such a name. Candidates without a digit are those of known formats and named ones.
     """
     words = F.split(F.col("text"), r"[\x20\x09-\x0D]+")
     has = F.col("text").rlike(_RUN)
-    spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i].rlike(_RUN) & F.col("words")[i].rlike("[0-9]"))
+
+    def names(i: Column) -> Column:
+        return F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1), F.col("words")[i])
+
+    def worth(i: Column) -> Column:
+        word = F.col("words")[i]
+        return word.rlike(_RUN) & (word.rlike("[0-9]") | word.rlike(_KNOWN) | names(i).rlike(NAMES))
+
+    spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), worth)
     path = F.concat_ws("/", *[F.col(c).cast("string") for c in path_cols]) if path_cols else F.lit("")
     near = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text")).where(has).withColumn("words", words).drop("text")
     each = near.withColumn("word_no", F.explode(spots))
@@ -47,20 +64,30 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         k = F.col("word_no") + step
         return F.when((k >= 0) & (k < F.size("words")), F.col("words")[F.greatest(F.least(k, F.size("words") - 1), F.lit(0))])
 
-    word = F.regexp_extract(at(0), f"({_RUN})", 1)
-    value = F.regexp_replace(word, r"^[A-Za-z_]+[=:]+", "")
-    own_name = F.regexp_extract(at(0), r"^[^A-Za-z]*([A-Za-z_]+)[=:]", 1)
-    context = F.concat_ws(" ", own_name, at(-2), at(-1))
-    return each.select(
-        "doc_id", "word_no", _strip(value).alias("candidate"), F.lower(_strip(F.coalesce(at(-1), F.lit("")))).alias("before"),
-        F.lower(_strip(F.coalesce(at(1), F.lit("")))).alias("after"), context.rlike(NAMES).alias("named"), "path",
-    ).where((F.length("candidate") >= LEAST_LENGTH) & F.col("candidate").rlike("[0-9]"))
+    all_runs = F.regexp_extract_all(at(0), F.lit(f"({_RUN})"), F.lit(1))
+    # what stands before each run: the run before it and the text between
+    zipped = F.arrays_zip(all_runs.alias("run"), F.concat(F.array(F.lit("")), all_runs).alias("earlier"), F.split(at(0), _RUN).alias("between"))
+    placed = each.select("doc_id", "word_no", "path", at(-2).alias("_two"), at(-1).alias("_one"), at(1).alias("_next"), F.posexplode(zipped).alias("run_no", "_z"))
+    run = F.col("_z.run")
+    own = F.concat_ws(" ", F.regexp_extract(F.concat("_z.earlier", "_z.between"), _NAME_BEFORE, 1), F.regexp_extract(run, _NAMES_INSIDE, 1))
+    candidates = F.array_distinct(F.concat(F.array(_strip(F.regexp_replace(run, r"^[A-Za-z_]+[=:]+", ""))), F.regexp_extract_all(run, F.lit(_KNOWN), F.lit(0))))
+    named = F.concat_ws(" ", own, "_two", "_one").rlike(NAMES)
+    signed = F.coalesce(F.col("_one").rlike("[=:]$"), F.lit(False)) & (F.col("run_no") == 0)
+    found = placed.where(run.isNotNull()).select(
+        "doc_id", "word_no", "run_no", F.explode(candidates).alias("candidate"), F.lower(_strip(F.coalesce("_one", F.lit("")))).alias("before"),
+        F.lower(_strip(F.coalesce("_next", F.lit("")))).alias("after"), named.alias("named"), (own.rlike(NAMES) | (signed & named)).alias("assigned"), "path",
+    )
+    return found.where((F.length("candidate") >= LEAST_LENGTH) & (F.col("candidate").rlike("[0-9]") | F.col("candidate").rlike(FORMATS) | F.col("named")))
 
 
 def known_labels(found: DataFrame) -> DataFrame:
-    """With ``label``: 1 for a known format or a named value of mixed characters, 0 for a harmless format or an unnamed plain one, null if not known."""
+    """With ``label``: 1 for a known format or a named value of mixed characters, 0 for a harmless format or an unnamed plain one, null if not known.
+
+    A value without a digit counts as named only if the name is given to it; a word that follows a name is not known.
+    """
     mixed = F.col("candidate").rlike("[A-Za-z]")
-    label = F.when(F.col("candidate").rlike(HARMLESS), 0.0).when(F.col("candidate").rlike(FORMATS) | (F.col("named") & mixed), 1.0).when(~mixed, 0.0)
+    value = F.col("named") & (F.col("assigned") | F.col("candidate").rlike("[0-9]"))
+    label = F.when(F.col("candidate").rlike(HARMLESS), 0.0).when(F.col("candidate").rlike(FORMATS) | (value & mixed), 1.0).when(~mixed, 0.0)
     return found.withColumn("label", label)
 
 
@@ -78,10 +105,11 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     turns = r"(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])"
     # each distinct word that is looked up, once
-    runs = found.select("doc_id", "word_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{2,})"), F.lit(1)))).alias("word"))
-    covered = runs.join(dictionary, "word").groupBy("doc_id", "word_no").agg(F.sum(F.length("word")).alias("letters"))
+    key = ["doc_id", "word_no", "run_no", "candidate"]
+    runs = found.select(*key).distinct().select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{2,})"), F.lit(1)))).alias("word"))
+    covered = runs.join(dictionary, "word").groupBy(*key).agg(F.sum(F.length("word")).alias("letters"))
     known = dictionary.select("word", F.lit(1.0).alias("hit"))
-    joined = found.join(covered, ["doc_id", "word_no"], "left")
+    joined = found.join(covered, key, "left")
     joined = joined.join(known.withColumnsRenamed({"word": "before", "hit": "before_hit"}), "before", "left").join(known.withColumnsRenamed({"word": "after", "hit": "after_hit"}), "after", "left")
     place = F.split("path", "/")
     return joined.select(
@@ -99,21 +127,21 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 def fit_forest(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> RandomForestClassificationModel | None:
     """A forest of the rows with a label; at most ``rows`` of each label, the same at every run. None if a label is missing."""
-    order = [F.xxhash64("doc_id", "word_no"), F.col("doc_id"), F.col("word_no"), F.col("candidate")]
+    order = [F.xxhash64("doc_id", "word_no"), F.col("doc_id"), F.col("word_no"), F.col("run_no"), F.col("candidate")]
     parts = [labelled.where(F.col("label") == k).orderBy(*order).limit(rows) for k in (0.0, 1.0)]
-    sample = stored(parts[0].unionByName(parts[1]).select("doc_id", "word_no", "candidate", "label", *FEATURES).coalesce(1).sortWithinPartitions(*order))
+    sample = stored(parts[0].unionByName(parts[1]).select("doc_id", "word_no", "run_no", "candidate", "label", *FEATURES).coalesce(1).sortWithinPartitions(*order))
     if sample.select("label").distinct().count() < 2:
         return None
     return RandomForestClassifier(labelCol="label", featuresCol="_features", numTrees=TREES, maxDepth=DEPTH, seed=5).fit(_vectors(sample))
 
 
 def scan_secrets(docs: DataFrame, dictionary: DataFrame, labels=known_labels, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", path_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """``doc_id, word_no, candidate_sha256, length, named, probability, secret`` of every candidate of every whole text.
+    """``doc_id, word_no, run_no, candidate_sha256, length, named, probability, secret`` of every candidate of every whole text.
 
     A random forest, fitted on the candidates that ``labels`` gives a label and ``learn`` admits,
     gives each candidate's probability of being a secret; those below one half are false findings.
     The secret itself is not returned, only its digest and place (``word_no`` counts the words of
-    the text from 0). Null and empty texts have no candidate; repeated rows that share an id give
+    the text, ``run_no`` the runs of the word, from 0). Null and empty texts have no candidate; repeated rows that share an id give
     the same candidates once; a null id is kept; other columns are ignored. With no labelled secret, or no
     harmless one, probabilities are null and every candidate stays a finding.
     """
@@ -123,7 +151,7 @@ def scan_secrets(docs: DataFrame, dictionary: DataFrame, labels=known_labels, le
     model = fit_forest(admitted if learn is None else admitted.where(learn))
     scored = ready.withColumn("probability", F.lit(None).cast("double")) if model is None else model.transform(_vectors(ready)).withColumn("probability", vector_to_array("probability")[1])
     return scored.select(
-        F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "word_no", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), "named",
+        F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "word_no", "run_no", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), "named",
         F.round("probability", 9).alias("probability"), F.coalesce(F.col("probability") >= 0.5, F.lit(True)).alias("secret"),
     )
 
