@@ -84,11 +84,11 @@ def shuffled_order(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(sized documents, pieces) of a mix of ``docs`` to the target weights.
 
-    The first: ``row, doc_id, size, source, source_size, target``, one row per input row. The
-    second, in which slot which words of which document stand: ``row, doc_id, slot, rank, epoch,
+    The first: ``row, doc_id, size, source, source_size, target``, one row per input row (``row`` is
+    ``row_col``, unique numbers, if named). The second, in which slot which words of which document stand: ``row, doc_id, slot, rank, epoch,
     start, words``; ``slot`` is null in closing slots. A source's documents stand in a fixed
     shuffled order, end to end, and repeat up to MOST_TIMES times; slots take blocks of that
     stream (see ``schedule``).
@@ -99,9 +99,8 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", tex
     buckets of about BUCKET_ROWS rows.
     """
     sized = stored(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
         .withColumn("place", shuffled_order(F.col("doc_id")))
-        .withColumn("row", F.monotonically_increasing_id())
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goals = stored(targets(sizes.select("source", "source_size")))

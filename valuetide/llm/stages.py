@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuetide.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from valuetide.llm.common import WORD, table
+from valuetide.llm.common import WORD, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,38 +15,51 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
-    return docs.join(_gone(exact_dedup.exact_dedup(docs)), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each group of equal texts: the one with the largest id (null is smaller than any), of several any one."""
+    rows = _keyed(docs)
+    judged = exact_dedup.exact_dedup(rows, id_col=KEY).select(F.col("doc_id").alias(KEY), F.col("keep_id").alias("_class"), F.col("group_size").alias("_size"))
+    return _one_each(rows, judged, F.max(F.struct(F.col("doc_id"), F.col(KEY)))).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id."""
-    return docs.join(_gone(near_dedup.near_duplicates(docs)), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each class of near duplicates: the one with the smallest id (null is larger than any), of several any one."""
+    rows = _keyed(docs)
+    judged = near_dedup.near_duplicates(rows, id_col=KEY).select(F.col("doc_id").alias(KEY), F.col("class_id").alias("_class"), F.col("class_size").alias("_size"))
+    return _one_each(rows, judged, F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY)))).select(*docs.columns)
 
 
-def _gone(judged: DataFrame) -> DataFrame:
-    """Ids none of whose rows stays."""
-    return judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_any")).where("NOT _any").drop("_any")
+#: A stage's own key of its input rows; ids may repeat or be null.
+KEY = "_stage_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with KEY, written so that the keys stay."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()))
+
+
+def _one_each(rows: DataFrame, judged: DataFrame, best: Column) -> DataFrame:
+    """``rows`` without those of a class (KEY, _class, _size) that are not its ``best``, a struct that holds KEY."""
+    members = stored(judged.where("_size > 1").join(rows.select(KEY, "doc_id"), KEY))
+    stay = members.groupBy("_class").agg(best.alias("_best")).select(F.col(f"_best.{KEY}").alias(KEY))
+    return rows.join(members.select(KEY).join(stay, KEY, "left_anti"), KEY, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each time that a document is used, whole or as its first words.
+    """The words that the mix takes: a row for each time that a row of ``docs`` is used, whole or as its first words.
 
     A document of which no word is taken goes. Where a document is cut, its text is the taken
     words, one blank between them, and n_chars their length; all other columns stay.
     """
-    known, pieces = mixing.mix_sources(docs)
-    used = pieces.groupBy("row", "epoch").agg(F.min("start").alias("_first"), F.sum("words").alias("_words"))
-    per_id = known.join(used, "row").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_first", "_words")
-    # rows that share an id were given their words one by one; identical rows are interchangeable
-    kept = per_id.groupBy("_id").agg(F.collect_list(F.struct("_size", "_first", "_words")).alias("_uses"), F.first("_size").alias("_size"))
-    both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_use", F.explode("_uses"))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.col("_use._first") + 1, F.col("_use._words")), " ")
-    text = F.when(F.col("_use._words") < F.col("_use._size"), words).otherwise(F.col("text"))
-    out = both.withColumn("_text", text)
+    rows = _keyed(docs)
+    known, pieces = mixing.mix_sources(rows, row_col=KEY)
+    uses = pieces.groupBy("row", "epoch").agg(F.min("start").alias("_first"), F.sum("words").alias("_words"))
+    sized = uses.join(known.select("row", "size"), "row").select(F.col("row").alias(KEY), F.col("size").alias("_size"), "_first", "_words")
+    both = rows.join(sized, KEY)
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.col("_first") + 1, F.col("_words")), " ")
+    out = both.withColumn("_text", F.when(F.col("_words") < F.col("_size"), words).otherwise(F.col("text")))
     swapped = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        swapped["n_chars"] = F.when(F.col("_use._words") < F.col("_use._size"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        swapped["n_chars"] = F.when(F.col("_words") < F.col("_size"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(swapped).select(*docs.columns)
 
 
