@@ -70,3 +70,11 @@ def test_window_is_calibrated():
     w = window_for(0.98, 12, 4, 0.99)
     gaps = np.abs(rng.standard_normal((20000, 12))) * math.sqrt(0.04)
     assert abs(((gaps > w).sum(1) < 4).mean() - 0.99) < 0.005
+
+
+def test_every_length_is_searched(spark):
+    rows = sample(200)
+    rare = [(5000 + k, v, lab) for k, v, lab in sample(120, dims=17)] + [(6000 + k, [1.0, 2.0 + k / 1000], 0) for k in range(3)] + [(6010, [3.0], 1), (6011, [9.0], 1), (6012, [-9.0], 1)]
+    got = sorted(map(tuple, similar_vectors(frame(spark, rows + rare)).collect()))
+    assert got == plain(rows + rare)
+    assert sum(n for i, n, *_ in got if i >= 5000) > 10 and dict((i, n) for i, n, *_ in got)[6010] == 1

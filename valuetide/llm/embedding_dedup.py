@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ CELL_WINDOWS = 3
 #: Rows of a cell that one task compares with so many others; larger cells are cut into chunks and compared chunk by chunk.
 CHUNK = 1024
 
-_CELLS = "vec_id long, label long, grp int, cell long, delta int"
+_CELLS = "vec_id long, label long, dims int, grp int, cell long, delta int"
 _LINKS = "vec_id long, root long, n long"
 
 
@@ -56,7 +57,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _assign(dims: int, count: int, groups: int, window: float):
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """The rows of each batch by the length of their vectors."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        for dims in np.unique(sizes).tolist():
+            yield batch.filter(pa.array(sizes == dims)), dims
+
+
+def _assign(count: int, groups: int, window: float):
     """Cells of every group, the home cell and the lower neighbours whose windows reach the vector (delta: the axes moved)."""
     each = count // groups
     width = window * CELL_WINDOWS
@@ -65,12 +74,12 @@ def _assign(dims: int, count: int, groups: int, window: float):
     salt = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, each, dtype=np.int64) | 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axes = projections(dims, count)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        axes: dict[int, np.ndarray] = {}
+        for batch, dims in _by_length(batches):
+            if dims not in axes:
+                axes[dims] = projections(dims, count)
             vectors = _matrix(batch.column(2))
-            placed = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ axes
+            placed = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ axes[dims]
             ids, labels = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for g in range(groups):
                 mine = placed[:, g * each : (g + 1) * each]
@@ -81,22 +90,25 @@ def _assign(dims: int, count: int, groups: int, window: float):
                     with np.errstate(over="ignore"):
                         cell = ((home[ok] - move) * salt).sum(axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[ok]), pa.array(labels[ok]), pa.array(np.full(len(ok), g, np.int32)), pa.array(cell), pa.array(np.full(len(ok), bit, np.int32))],
-                        ["vec_id", "label", "grp", "cell", "delta"],
+                        [pa.array(ids[ok]), pa.array(labels[ok]), pa.array(np.full(len(ok), dims, np.int32)), pa.array(np.full(len(ok), g, np.int32)), pa.array(cell), pa.array(np.full(len(ok), bit, np.int32))],
+                        ["vec_id", "label", "dims", "grp", "cell", "delta"],
                     )
 
     return run
 
 
-def _compare(dims: int, count: int, groups: int, window: float, similarity: float):
+def _compare(count: int, groups: int, window: float, similarity: float):
     each, needed = count // groups, count - groups + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axes = projections(dims, count)
+        axes: dict[int, np.ndarray] = {}
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
         for block in blocks(batches, "task"):
-            got = _links_of(block, axes, each, needed, window, similarity)
+            dims = int(block.column("dims")[0].as_py())
+            if dims not in axes:
+                axes[dims] = projections(dims, count)
+            got = _links_of(block, axes[dims], each, needed, window, similarity)
             if got is not None:
                 out.append(got)
                 held += len(got[0])
@@ -173,7 +185,7 @@ def _links_of(block: pa.Table, axes: np.ndarray, each: int, needed: int, window:
 def similar_vectors(vectors: DataFrame, similarity: float = SIMILARITY, groups: int = GROUPS, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors``.
 
-    Two vectors are linked when their labels are equal and not null and their cosine, in double
+    Two vectors are linked when their lengths are equal, their labels are equal and not null and their cosine, in double
     precision, is at least ``similarity``. Random projections fall into ``groups`` groups; a pair
     collides in a projection when the other lies in the window around the first. A pair passes
     with ``count - groups + 1`` collisions of ``count``, a number that pairs at the similarity reach with chance
@@ -181,10 +193,10 @@ def similar_vectors(vectors: DataFrame, similarity: float = SIMILARITY, groups:
     vectors that share a cell of a group's grid, sorted by the group's first projection, and every
     passing pair is checked exactly, in the first group that holds it.
 
-    Null, zero and non-finite vectors, those with null components and those of another length
-    than most have no links. Rows that share an id are one vector (the smallest by label and
+    Null, zero and non-finite vectors and those with null components have no links. Each length
+    has projections and cells of its own. Rows that share an id are one vector (the smallest by label and
     components). Other columns are ignored; an empty table gives an empty result. The number of
-    projections grows with the logarithm of the largest label. Tasks return one row per linked
+    projections grows with the logarithm of the most rows of one label and length. Tasks return one row per linked
     vector, never pairs; cells above CHUNK rows are compared chunk by chunk in many tasks.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -192,28 +204,26 @@ def similar_vectors(vectors: DataFrame, similarity: float = SIMILARITY, groups:
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     usable = source.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad).where((norm > 0) & (norm < float("inf")))
     once = usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
-    sizes = [r["d"] for r in usable.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()]
-    if not sizes:
+    ready = stored(once.withColumn("dims", F.size("embedding")))
+    largest = ready.groupBy("label", "dims").count().agg(F.max("count")).first()[0]
+    if largest is None:
         return source.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = sizes[0]
-    ready = stored(once.where(F.size("embedding") == dims))
-    largest = ready.groupBy("label").count().agg(F.max("count")).first()[0]
     each = 3 + max(0, math.ceil(math.log(largest / 50_000, 3)))
     count = each * groups
     window = window_for(similarity, count, groups, recall)
 
-    cells = stored(ready.mapInArrow(_assign(dims, count, groups, window), _CELLS))
-    shared = cells.groupBy("label", "grp", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    cells = stored(ready.select("vec_id", "label", "embedding").mapInArrow(_assign(count, groups, window), _CELLS))
+    shared = cells.groupBy("label", "dims", "grp", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
     own = F.pmod(F.xxhash64("vec_id"), F.col("chunks"))
-    chunked = cells.join(shared, ["label", "grp", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    chunked = cells.join(shared, ["label", "dims", "grp", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     pair = chunked.select(
         "vec_id", "grp", "delta",
-        F.xxhash64("label", "grp", "cell", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
+        F.xxhash64("label", "dims", "grp", "cell", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
         F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int")).alias("side"),
     )
     rows = pair.join(ready, "vec_id")
     tasks = rows.repartition("task").sortWithinPartitions("task")
-    found = stored(tasks.mapInArrow(_compare(dims, count, groups, window, similarity), _LINKS))
+    found = stored(tasks.mapInArrow(_compare(count, groups, window, similarity), _LINKS))
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     known = links.join(roots, F.col("vec_id") == F.col("node"), "left").select("vec_id", "n_links", "root")
