@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from valuetide.llm import embedding_dedup, exact_dedup, langid, license_scan, mixing, near_dedup, packing, secret_scan, substring_dedup, toxicity
+from valuetide.llm import embedding_dedup, exact_dedup, importance, langid, license_scan, mixing, near_dedup, packing, secret_scan, substring_dedup, toxicity, warc, whitening
 from valuetide.llm.common import table
 
 
@@ -55,7 +55,25 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_dedup, op4_toxicity, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_license_scan, op9_near_dedup, op10_exact_dedup)}
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_packing, op3_embedding_dedup, op4_toxicity, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_license_scan, op9_near_dedup, op10_exact_dedup,
+        op11_embedding_whitening, op12_importance_resampling, op13_warc,
+    )
+}
 #: Vectors are linked by the exact cosine, components grow to a fixpoint.
 _OP3_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
@@ -65,4 +83,4 @@ c AS (SELECT node, min(root) AS root FROM r GROUP BY node), k AS (SELECT a, coun
 SELECT e.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, coalesce(c.root, e.vec_id) AS component_id, coalesce(c.root, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN c ON c.node = e.vec_id LEFT JOIN k ON k.a = e.vec_id"""
 
-CHECK_SQL = {"op3_embedding_dedup": _OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+CHECK_SQL = {"op3_embedding_dedup": _OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op12_importance_resampling": importance.OP12_SQL, "op13_warc": warc.OP13_SQL}
