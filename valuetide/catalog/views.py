@@ -182,6 +182,20 @@ SELECT concat('BTX', CAST(l_orderkey AS STRING)) AS tx_id, concat('supp', CAST(l
        concat(CASE WHEN l_returnflag = 'R' THEN '-' WHEN l_returnflag = 'A' THEN '+' ELSE '' END,
               CAST(CAST(l_quantity AS BIGINT) AS STRING), '.', CAST(l_linenumber AS STRING), '000') AS balance_change
 FROM lineitem""",
+    "v_move": """
+SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax, l_returnflag, l_linestatus) AS n,
+       concat('cust', CAST(o_custkey AS STRING)) AS from_addr, concat('supp', CAST(l_suppkey AS STRING)) AS to_addr, CAST(l_quantity AS BIGINT) AS qty,
+       CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_returnflag AS flag, l_linestatus AS line, l_partkey AS part, 883612800 + (l_orderkey * 3607) % 94608000 AS at_s
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "v_evm_row": """
+SELECT k, n, CASE WHEN k % 3 = 0 THEN 'eth' WHEN k % 3 = 1 THEN 'AVAX' ELSE 'FOO' END AS chain,
+       CASE WHEN n = 1 THEN 'txlist' WHEN flag = 'R' THEN 'txlistinternal' ELSE 'tokentx' END AS kind, concat('0xh', CAST(k AS STRING)) AS hash, CAST(k AS STRING) AS block,
+       CAST(at_s AS STRING) AS stamp, from_addr, CASE WHEN part % 41 = 0 THEN '' ELSE to_addr END AS to_addr,
+       CASE WHEN part % 37 = 0 THEN 'n/a' WHEN n = 1 OR flag = 'R' THEN concat(CAST(cents AS STRING), '0000000012') ELSE CAST(cents AS STRING) END AS value,
+       CASE WHEN part % 11 = 0 THEN '' ELSE concat('0XAB', CAST(part % 50 AS STRING)) END AS contract, concat('tok', CAST(part % 50 AS STRING)) AS symbol,
+       CASE WHEN part % 4 = 0 THEN '6' WHEN part % 4 = 1 THEN '18' WHEN part % 4 = 2 THEN '' ELSE '8' END AS places,
+       CASE WHEN k % 13 = 0 THEN '1' ELSE '0' END AS is_error, CASE WHEN k % 17 = 0 THEN '0' WHEN k % 2 = 0 THEN '1' ELSE '' END AS receipt
+FROM v_move""",
     "v_watch": """
 SELECT concat('supp', CAST(s_suppkey AS STRING)) AS address FROM supplier""",
     "v_link": """

@@ -151,3 +151,28 @@ EVENT_WITHDRAWALS = [
 ]
 EXPANDABLE_KINDS = ["contract_address", "external_address", "actor_address", "bond_address"]
 BUCKET_LABELS = {"bond_unbond": "Bond/Unbond", "rebond": "Rebond", "transfer": "Send/Transfer", "swap": "Swap"}
+
+# --- fixed values: native assets of chains whose histories are read ----------
+CHAIN_NATIVE_ASSETS = {
+    "BTC": "BTC.BTC",
+    "BCH": "BCH.BCH",
+    "DOGE": "DOGE.DOGE",
+    "LTC": "LTC.LTC",
+    "SOL": "SOL.SOL",
+    "TRON": "TRON.TRX",
+    "XRP": "XRP.XRP",
+    "GAIA": "GAIA.ATOM",
+    "MAYA": "MAYA.CACAO",
+    "XRD": "XRD.XRD",
+    "ETH": "ETH.ETH",
+    "BSC": "BSC.BNB",
+    "BASE": "BASE.ETH",
+    "AVAX": "AVAX.AVAX",
+    "ARB": "ARB.ETH",
+}
+#: Seconds from the Unix epoch to the ledger time of XRP.
+XRP_EPOCH = 946684800
+#: Denoms of GAIA that are read, with their asset and decimals.
+GAIA_DENOMS = {"uatom": ("GAIA.ATOM", 6)}
+#: Texts that stand for success.
+SUCCESS_TEXTS = ["", "1", "0x1", "success", "succeeded", "ok", "confirmed", "true"]

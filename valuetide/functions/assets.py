@@ -110,3 +110,9 @@ def token_asset(chain: Column, symbol: Column, token_id: Column) -> Column:
             F.upper(F.trim(token_id)),
         ),
     )
+
+
+def chain_native_asset(chain: Column) -> Column:
+    """Native asset of a chain; an unlisted chain's bears its name."""
+    name = F.upper(F.trim(chain))
+    return F.coalesce(lookup(K.CHAIN_NATIVE_ASSETS, name), F.concat_ws(".", name, name))

@@ -64,7 +64,7 @@ def import_actor_lines(lines: DataFrame, annotations: DataFrame) -> tuple[DataFr
     ``lines`` is (line_no, line). Returns (address, chain_hint, label, line_no) and
     (line_no, error); a repeated address keeps its first line.
     """
-    pieces = F.transform(F.split("line", ","), F.trim)
+    pieces = F.transform(F.split("line", ","), lambda p: F.trim(p))
     entry = pieces[0]
     rest = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: p != "")
     first, more = F.try_element_at(rest, F.lit(1)), F.size(rest) > 1
