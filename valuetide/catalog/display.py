@@ -30,15 +30,31 @@ def _(spark, sf):
 
 
 _CHAINS = ("NATION_3", "NATION_11", "NATION_20")
-_EDGE_CHAIN = "ec AS (SELECT edge_id, min(chain) AS chain FROM seg GROUP BY edge_id)"
+HOME = "home AS (SELECT concat('cust', c_custkey) AS key, n_name AS chain FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 <> 0 UNION ALL SELECT concat('supp', s_suppkey), n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 10 <> 0)"
 
 
-@query("filter_edges_by_chain_type", f"WITH {GRAPH}, {_EDGE_CHAIN} SELECT ed.edge_id FROM ed JOIN ec ON ec.edge_id = ed.edge_id WHERE chain IN {_CHAINS}")
+def homes(spark, sf):
+    """``key, chain`` of most addresses, by the nation of their holder."""
+    return V.select(
+        spark, sf,
+        "SELECT concat('cust', CAST(c_custkey AS STRING)) AS key, n_name AS chain FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 <> 0 "
+        "UNION ALL SELECT concat('supp', CAST(s_suppkey AS STRING)), n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 10 <> 0",
+    )
+
+
+def with_chains(rows, spark, sf):
+    """Edges with the chains of both ends, null where unknown."""
+    for end in ("from", "to"):
+        rows = rows.join(homes(spark, sf).select(F.col("key").alias(f"{end}_key"), F.col("chain").alias(f"{end}_chain")), f"{end}_key", "left")
+    return rows
+
+
+_ENDS = "ed LEFT JOIN home f ON f.key = ed.from_addr LEFT JOIN home t ON t.key = ed.to_addr"
+
+
+@query("filter_edges_by_chain_type", f"WITH {GRAPH}, {HOME} SELECT ed.edge_id FROM {_ENDS} WHERE f.chain IN {_CHAINS} OR t.chain IN {_CHAINS} OR (f.chain IS NULL AND t.chain IS NULL)")
 def _(spark, sf):
-    edge = F.concat_ws("|", "from_addr", "to_addr", F.lit("tracker.transfer"))
-    chain = V.view(spark, sf, "v_transfer").groupBy(edge.alias("edge_id")).agg(F.min("chain").alias("to_chain"))
-    rows = edges(spark, sf).join(chain, "edge_id").withColumn("from_chain", F.lit(None).cast("string"))
-    return Y.filter_edges_by_chain_type(rows, ["transfer"], list(_CHAINS)).select("edge_id")
+    return Y.filter_edges_by_chain_type(with_chains(edges(spark, sf), spark, sf), ["transfer"], list(_CHAINS)).select("edge_id")
 
 
 @query("summarize_edge", f"WITH {GRAPH} SELECT edge_id, CAST(round(sum(usd), 4) AS DOUBLE) AS usd_spot, count(DISTINCT tx_id) AS tx_count, coalesce(min(height), -1) AS first_height FROM et WHERE {_IN} GROUP BY edge_id")
@@ -64,24 +80,36 @@ def _(spark, sf):
 
 
 BIG = 50.0
-_CLUSTER = f"cl AS MATERIALIZED (SELECT nk.key, CASE WHEN nk.kind = 'external_address' AND coalesce(a.n, 0) <= 1 AND coalesce(a.usd, 0) < {BIG} THEN 'external_cluster:UNKNOWN' ELSE nk.key END AS mapped, nk.kind, nk.depth, a.usd FROM nk LEFT JOIN act_ a ON a.key = nk.key)"
+_OPEN_CHAIN = "NATION_7"
+_CLUSTER = f"cl AS MATERIALIZED (SELECT nk.key, CASE WHEN nk.kind = 'external_address' AND coalesce(h.chain, '') <> '{_OPEN_CHAIN}' AND coalesce(a.n, 0) <= 1 AND coalesce(a.usd, 0) < {BIG} THEN concat('external_cluster:', coalesce(h.chain, 'UNKNOWN')) ELSE nk.key END AS mapped, nk.kind, nk.depth, a.usd FROM nk LEFT JOIN act_ a ON a.key = nk.key LEFT JOIN home h ON h.key = nk.key)"
+_CLUSTERED = f"WITH {NODES}, {HOME}, {_ACTIVE}, {_CLUSTER}"
 
 
 def _mapping(spark, sf):
-    return Y.collapse_external(nodes(spark, sf).withColumn("chain", F.lit("")), A.address_activity(edges(spark, sf)), BIG)
+    rows = nodes(spark, sf).drop("chain").join(homes(spark, sf), "key", "left")
+    return Y.collapse_external(rows, A.address_activity(edges(spark, sf)), BIG, [_OPEN_CHAIN.lower()])
 
 
-@query("collapse_external", f"WITH {NODES}, {_ACTIVE}, {_CLUSTER} SELECT key, mapped FROM cl")
+@query("collapse_external", f"{_CLUSTERED} SELECT key, mapped FROM cl")
 def _(spark, sf):
     return _mapping(spark, sf)
 
 
-@query("visible_nodes", f"WITH {NODES}, {_ACTIVE}, {_CLUSTER} SELECT mapped AS key, min(depth) AS depth, count(*) AS address_count, CAST(round(coalesce(sum(usd), 0), 4) AS DOUBLE) AS usd_spot FROM cl GROUP BY mapped")
+@query(
+    "visible_nodes",
+    f"""{_CLUSTERED}, st AS (SELECT cl.*, CASE WHEN length(key) % 3 = 0 THEN 'available' WHEN length(key) % 3 = 1 THEN 'error' ELSE 'unavailable' END AS status, length(key) AS held FROM cl)
+SELECT mapped AS key, min(depth) AS depth, count(*) AS address_count, CAST(round(coalesce(sum(usd), 0), 4) AS DOUBLE) AS usd_spot, CAST(sum(held) AS DOUBLE) AS holdings_usd,
+  max_by(status, CASE status WHEN 'available' THEN 2 WHEN 'error' THEN 1 ELSE 0 END) AS holdings_status FROM st GROUP BY mapped""",
+)
 def _(spark, sf):
-    return Y.visible_nodes(nodes(spark, sf), _mapping(spark, sf), A.address_activity(edges(spark, sf))).select("key", "depth", "address_count", money())
+    held = F.length("key")
+    status = F.when(held % 3 == 0, "available ").when(held % 3 == 1, "Error").otherwise("unavailable")
+    rows = nodes(spark, sf).withColumns({"holdings_usd": held.cast("decimal(38,10)"), "holdings_status": status})
+    shown = Y.visible_nodes(rows, _mapping(spark, sf), A.address_activity(edges(spark, sf)))
+    return shown.select("key", "depth", "address_count", money(), F.col("holdings_usd").cast("double").alias("holdings_usd"), "holdings_status")
 
 
-_VISIBLE = f"""WITH {NODES}, {_ACTIVE}, {_CLUSTER}, ve AS (SELECT f.mapped AS from_key, t.mapped AS to_key, sum(ed.usd) AS usd, sum(tx_count) AS tx_count, count(*) AS raw_edges FROM ed JOIN cl f ON f.key = ed.from_addr JOIN cl t ON t.key = ed.to_addr WHERE f.mapped <> t.mapped GROUP BY 1, 2)"""
+_VISIBLE = f"""{_CLUSTERED}, ve AS (SELECT f.mapped AS from_key, t.mapped AS to_key, sum(ed.usd) AS usd, sum(tx_count) AS tx_count, count(*) AS raw_edges FROM ed JOIN cl f ON f.key = ed.from_addr JOIN cl t ON t.key = ed.to_addr WHERE f.mapped <> t.mapped GROUP BY 1, 2)"""
 
 
 @query("visible_edges", _VISIBLE + " SELECT from_key, to_key, CAST(round(usd, 4) AS DOUBLE) AS usd_spot, CAST(tx_count AS BIGINT) AS tx_count, raw_edges, 'tracker.transfer' AS action_key FROM ve")
@@ -89,9 +117,27 @@ def _(spark, sf):
     return Y.visible_edges(edges(spark, sf), _mapping(spark, sf)).select("from_key", "to_key", money(), "tx_count", "raw_edges", "action_key")
 
 
-@query("edge_labels", _VISIBLE + " SELECT from_key, to_key, 'Transfer' AS label FROM ve")
+@query(
+    "edge_labels",
+    f"""{_CLUSTERED}, k AS (SELECT ed.*, f.mapped AS f, t.mapped AS t, length(from_addr) + CAST(substr(to_addr, 5) AS INTEGER) AS x FROM ed JOIN cl f ON f.key = ed.from_addr JOIN cl t ON t.key = ed.to_addr WHERE f.mapped <> t.mapped),
+b AS (SELECT *, CASE x % 6 WHEN 0 THEN 'bond_unbond' WHEN 1 THEN 'rebond' WHEN 2 THEN 'swap' WHEN 3 THEN NULL ELSE 'transfer' END AS bucket, CASE x % 6 WHEN 0 THEN 'bonds' WHEN 1 THEN 'bonds' WHEN 2 THEN 'swaps' WHEN 3 THEN 'liquidity' ELSE 'transfers' END AS cls, CASE WHEN x % 6 < 2 THEN concat('thor1node', x % 4) END AS v FROM k),
+g AS (SELECT f, t, list(DISTINCT bucket ORDER BY bucket) FILTER (WHERE bucket IS NOT NULL) AS bs, count(DISTINCT cls) AS classes, count(*) AS n, sum(tx_count) AS txs, count(DISTINCT v) AS vs, min(v) AS v FROM b GROUP BY 1, 2),
+m AS (SELECT *, list_transform(coalesce(bs, []), lambda z: CASE z WHEN 'swap' THEN 'Swap' WHEN 'transfer' THEN 'Transfer' WHEN 'rebond' THEN 'Rebond' ELSE 'Bond / Unbond' END) AS names FROM g)
+SELECT f AS from_key, t AS to_key, concat(CASE WHEN len(names) = 0 THEN 'Transactions' ELSE array_to_string(names[1:2], ' + ') END, CASE WHEN len(names) > 2 THEN concat(' +', len(names) - 2, ' more') ELSE '' END,
+  CASE WHEN txs > 1 AND (classes > 1 OR len(names) > 1 OR n > 1) THEN concat(' (', txs, ' txns)') ELSE '' END, CASE WHEN vs = 1 THEN concat(' via ', v) WHEN vs > 1 THEN concat(' via ', vs, ' validators') ELSE '' END) AS label FROM m""",
+)
 def _(spark, sf):
-    return Y.edge_labels(Y.visible_edges(edges(spark, sf), _mapping(spark, sf))).select("from_key", "to_key", "label")
+    """Edges of several classes, some with validators."""
+    x = F.length("from_key") + F.substring("to_key", 5, 9).cast("int")
+    which = x % 6
+    rows = edges(spark, sf).withColumns(
+        {
+            "action_class": F.when(which < 2, "bonds").when(which == 2, "swaps").when(which == 3, "liquidity").otherwise("transfers"),
+            "action_key": F.when(which == 1, "protocol.rebond").otherwise("protocol.other"), "action_label": F.lit("Other"),
+            "validator_address": F.when(which < 2, F.concat(F.lit("thor1node"), (x % 4).cast("string"))), "validator_label": F.lit(None).cast("string"),
+        }
+    )
+    return Y.edge_labels(Y.visible_edges(rows, _mapping(spark, sf))).select("from_key", "to_key", "label")
 
 
 @query(
@@ -140,10 +186,22 @@ def _(spark, sf):
     return Y.apply_node_updates(own, patch).select("key", "kind", "depth")
 
 
-@query("refreshable_nodes", f"WITH {NODES} SELECT key FROM nk WHERE out_edges <= 3")
+_STATUS = "CASE WHEN out_edges > 3 THEN 'available' WHEN in_edges > 200 THEN 'unavailable' WHEN in_edges > 100 THEN 'Error ' ELSE '' END"
+
+
+def _with_status(spark, sf):
+    status = F.when(F.col("out_edges") > 3, "available").when(F.col("in_edges") > 200, "unavailable").when(F.col("in_edges") > 100, "Error ").otherwise("")
+    return nodes(spark, sf).withColumn("holdings_status", status)
+
+
+@query("refreshable_nodes", f"WITH {NODES} SELECT key FROM nk WHERE {_STATUS} <> 'available'")
+def _(spark, sf):
+    return Y.refreshable_nodes(_with_status(spark, sf)).select("key")
+
+
+@query("unavailable_nodes", f"WITH {NODES} SELECT key FROM nk WHERE {_STATUS} IN ('unavailable', 'Error ')")
 def _(spark, sf):
-    own = nodes(spark, sf).withColumn("holdings_status", F.when(F.col("out_edges") > 3, "available").otherwise("error"))
-    return Y.refreshable_nodes(own).select("key")
+    return Y.unavailable_nodes(_with_status(spark, sf)).select("key")
 
 
 @query(

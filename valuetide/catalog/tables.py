@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from valuetide.catalog import sqltext as S
 from valuetide.catalog import views as V
 from valuetide.catalog.classification import DIRECTORY, OWNERS
-from valuetide.catalog.movement import ACTS
+from valuetide.catalog.movement import ACTS, SWAPS
 from valuetide.catalog.registry import query
 from valuetide.operators import aggregate as A
 from valuetide.operators import holdings as H
@@ -15,7 +15,7 @@ from valuetide.operators import normalize as N
 from valuetide.operators import order as D
 from valuetide.operators import project as P
 from valuetide.operators import suppress as X
-from valuetide.session import land_once
+from valuetide.session import cut_lineage, land_once
 from valuetide.sources import readers as R
 
 # --- the transfers' graph: one segment per transfer -------------------------------------------------
@@ -130,17 +130,36 @@ def _(spark, sf):
     return D.merge_histories(keyed.where("source_rank = 1"), keyed.where("source_rank = 2")).select("key", "source_rank")
 
 
-@query("merge_two_sources_status", f"SELECT {_MOVE} AS key, true AS truncated FROM v_transfer_dup WHERE source_rank = 2 GROUP BY 1")
+@query(
+    "merge_two_sources_status",
+    f"""WITH b AS (SELECT {_MOVE} AS key, min(source_rank) AS source_rank FROM v_transfer_dup GROUP BY 1), s AS (SELECT DISTINCT {_MOVE} AS key FROM v_transfer_dup WHERE source_rank = 2), f AS (SELECT DISTINCT {_MOVE} AS key FROM v_transfer_dup WHERE source_rank = 1)
+SELECT 'both' AS worked, key, source_rank, false AS truncated FROM b UNION ALL SELECT 'first', key, 1, true FROM f UNION ALL SELECT 'second', key, 2, true FROM s""",
+)
 def _(spark, sf):
+    """Both sources working, and each of them alone."""
     rows = V.transfers(spark, sf, "v_transfer_dup")
     keyed = D.tie(rows.withColumn("key", F.concat_ws("|", "chain", "tx_id", "from", "to", "asset", F.col("amount_raw").cast("string"))), "height", "confidence")
-    merged, truncated = D.merge_two_sources_status(keyed.where("source_rank = 1"), keyed.where("source_rank = 2"), False, True)
-    return merged.select("key", F.lit(truncated).alias("truncated"))
+    first, second = keyed.where("source_rank = 1"), keyed.where("source_rank = 2")
+    parts = []
+    for name, oks in (("both", (True, True)), ("first", (True, False)), ("second", (False, True))):
+        merged, truncated = D.merge_two_sources_status(first, second, *oks)
+        parts.append(merged.select(F.lit(name).alias("worked"), "key", "source_rank", F.lit(truncated).alias("truncated")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("dedupe_canonical_swaps", f"WITH {GRAPH} SELECT edge_id, count(*) AS n FROM seg GROUP BY 1")
+@query(
+    "dedupe_canonical_swaps",
+    f"""WITH {S.PRICES}, {ACTS}, {SWAPS}, k AS (SELECT concat_ws('|', 'swap', coalesce(a.corr, a.fallback), s.src, s.dst, s.asset) AS canonical_key FROM seg s JOIN acts a ON a.action_id = s.action_id
+  WHERE s.src <> s.dst AND {S.graphable('s.amount')} AND (s.asset NOT LIKE '%-%' OR s.asset IN (SELECT asset FROM pool_assets)))
+SELECT canonical_key, 1::BIGINT AS emitted, 2 * count(*) - 1 AS dropped FROM k GROUP BY canonical_key""",
+)
 def _(spark, sf):
-    return D.dedupe_canonical_swaps(segments(spark, sf)).groupBy(A.edge_key().alias("edge_id")).agg(F.count("*").alias("n"))
+    """Every swap segment twice, as two pages of a history would bring it."""
+    plain = V.prepared_actions(spark, sf).where("lower(trim(type)) <> 'contract'")
+    drawn = cut_lineage(P.finish_segments(P.project_swaps(plain), V.book(spark, sf)))
+    twice = drawn.unionByName(drawn)
+    kept = D.dedupe_canonical_swaps(twice).groupBy("canonical_key").agg(F.count("*").alias("emitted"))
+    return twice.where("canonical_key IS NOT NULL").groupBy("canonical_key").agg(F.count("*").alias("_n")).join(kept, "canonical_key").select("canonical_key", "emitted", (F.col("_n") - F.col("emitted")).alias("dropped"))
 
 
 _ORDERED = "ORDER BY CASE WHEN date_raw = '' THEN 1 ELSE 0 END, newness DESC, CAST(height_raw AS BIGINT) DESC, uid DESC, action_id DESC"
@@ -194,13 +213,13 @@ def _(spark, sf):
 
 @query(
     "merge_height_ranges",
-    """WITH h AS (SELECT DISTINCT to_addr AS address, height FROM v_transfer WHERE height % 3 = 0), p AS (SELECT address, greatest(1, height - 2) AS s, height + 2 AS e FROM h),
+    """WITH h AS (SELECT DISTINCT to_addr AS address, height FROM v_transfer), p AS (SELECT address, greatest(1, height - 2) AS s, height + 2 AS e FROM h),
 m AS (SELECT *, max(e) OVER (PARTITION BY address ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 24 THEN 1 ELSE 0 END) OVER (PARTITION BY address ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT address, min(s) AS start_height, max(e) AS end_height FROM i GROUP BY address, island""",
 )
 def _(spark, sf):
-    heights = V.view(spark, sf, "v_transfer").where("height % 3 = 0").select(F.col("to_addr").alias("address"), "height")
+    heights = V.view(spark, sf, "v_transfer").select(F.col("to_addr").alias("address"), "height")
     return D.merge_height_ranges(heights, ["address"])
 
 
@@ -341,15 +360,27 @@ def _(spark, sf):
 @query(
     "node_holdings_metrics",
     f"""WITH {NODES}, bank AS (SELECT address, b.asset, sum(CAST(nullif(amount, '') AS BIGINT)) AS amount_raw FROM v_balance b WHERE amount NOT IN ('', '0') GROUP BY 1, 2),
-hold AS (SELECT address, sum({S.usd('amount_raw', 'price')}) AS usd, count(*) AS n FROM bank LEFT JOIN prices p ON p.asset = bank.asset GROUP BY address)
-SELECT key, CAST(round(coalesce(usd, 0), 4) AS DOUBLE) AS holdings_usd, coalesce(n, 0) AS holdings_assets, CASE WHEN usd IS NULL THEN 'unavailable' ELSE 'available' END AS holdings_status FROM nk LEFT JOIN hold ON hold.address = nk.key""",
+hold AS (SELECT address, sum({S.usd('amount_raw', 'price')}) AS usd, count(*) AS n FROM bank LEFT JOIN prices p ON p.asset = bank.asset GROUP BY address),
+pl AS (SELECT concat(source_protocol, '|', v.asset) AS key, sum({S.usd('CAST(asset_depth AS BIGINT)', 'price')}) AS usd FROM v_pool v LEFT JOIN prices p ON p.asset = v.asset WHERE lower(status) IN ('available', '') GROUP BY 1),
+bd AS (SELECT node_address AS address, CASE WHEN {_AMT.format('total_bond')} > 0 THEN {_AMT.format('total_bond')} ELSE {_AMT.format('bond')} END / 100000000.0 * 2 AS usd FROM v_node_flat),
+a AS (SELECT key, 'address' AS kind FROM nk UNION ALL SELECT DISTINCT concat(source_protocol, '|', asset), 'pool' FROM v_pool UNION ALL SELECT node_address, 'node' FROM v_node_flat UNION ALL SELECT concat('thor1nodex', n_nationkey), 'node' FROM nation),
+j AS (SELECT a.*, CASE a.kind WHEN 'pool' THEN pl.usd WHEN 'node' THEN bd.usd ELSE hold.usd END AS usd, CASE WHEN a.kind = 'address' THEN hold.n END AS n FROM a LEFT JOIN hold ON a.kind = 'address' AND hold.address = a.key LEFT JOIN pl ON a.kind = 'pool' AND pl.key = a.key LEFT JOIN bd ON a.kind = 'node' AND bd.address = a.key)
+SELECT key, CAST(round(coalesce(usd, 0), 4) AS DOUBLE) AS holdings_usd, coalesce(n, 0) AS holdings_assets, CASE WHEN usd IS NULL THEN 'unavailable' ELSE 'available' END AS holdings_status,
+  CASE kind WHEN 'pool' THEN 'pool_depth' WHEN 'node' THEN 'validator_bond' ELSE 'address' END AS holdings_source FROM j""",
 )
 def _(spark, sf):
+    """The transfers' addresses, all pools and all validators, some of which are not known."""
     prices = V.book(spark, sf).prices
     held = H.compact_holdings(H.bank_holdings(V.view(spark, sf, "v_balance"), prices), prices)
-    none = held.limit(0)
-    found = H.node_holdings_metrics(nodes(spark, sf), held, none.select(F.col("address").alias("key"), "usd_spot"), none.select("address", "usd_spot"))
-    return found.select("key", money("holdings_usd"), "holdings_assets", "holdings_status")
+    depths = N.usd_value(R.load_pools(V.pools(spark, sf)), prices, amount="asset_depth").groupBy(F.col("pool_key").alias("key")).agg(F.sum("usd_spot").alias("usd_spot"))
+    _, totals, _ = H.bond_indexes(*R.load_node_accounts(node_accounts(spark, sf)))
+    bonds = totals.select(F.col("node_address").alias("address"), (F.col("total_bond_raw") / 100000000 * 2).cast("decimal(38,10)").alias("usd_spot"))  # at 2 a native coin
+    pools = V.pools(spark, sf).select(F.concat_ws("|", "source_protocol", "asset").alias("key"), F.lit("pool").alias("kind"), F.lit(None).cast("string").alias("address")).distinct()
+    known = V.view(spark, sf, "v_node_flat").select("node_address").unionByName(V.select(spark, sf, "SELECT concat('thor1nodex', CAST(n_nationkey AS STRING)) AS node_address FROM nation"))
+    validators = known.select(F.col("node_address").alias("key"), F.lit("node").alias("kind"), F.col("node_address").alias("address"))
+    all_ = nodes(spark, sf).select("key", "kind", "address").unionByName(pools).unionByName(validators)
+    found = H.node_holdings_metrics(all_, held, depths, bonds)
+    return found.select("key", money("holdings_usd"), "holdings_assets", "holdings_status", "holdings_source")
 
 
 @query(
@@ -392,9 +423,13 @@ def _(spark, sf):
     "provider_health",
     """WITH l AS (SELECT * FROM v_request_log), ls AS (SELECT provider, chain, max(struct_pack(t := time, e := event_id)) AS last FROM l WHERE outcome = 'success' GROUP BY 1, 2)
 SELECT l.provider, l.chain, count(*) FILTER (WHERE outcome IN ('success', 'failure')) AS requests, count(*) FILTER (WHERE outcome = 'success') AS successes, count(*) FILTER (WHERE outcome = 'failure') AS failures,
-  count(*) FILTER (WHERE outcome = 'cache_hit') AS cache_hits, count(*) FILTER (WHERE outcome = 'failure' AND (ls.last IS NULL OR struct_pack(t := time, e := event_id) > ls.last)) AS consecutive_failures
+  count(*) FILTER (WHERE outcome = 'cache_hit') AS cache_hits, count(*) FILTER (WHERE outcome = 'failure' AND (ls.last IS NULL OR struct_pack(t := time, e := event_id) > ls.last)) AS consecutive_failures,
+  max(time) FILTER (WHERE outcome = 'failure') AS last_error_at, max_by(outcome, struct_pack(t := time, e := event_id)) FILTER (WHERE outcome IN ('success', 'failure')) AS last_status,
+  count(*) FILTER (WHERE outcome = 'failure' AND (ls.last IS NULL OR struct_pack(t := time, e := event_id) > ls.last)) >= 3 AND coalesce(max(time) FILTER (WHERE outcome = 'failure') > (SELECT max(time) FROM l) - INTERVAL 5 MINUTES, false) AS degraded
 FROM l LEFT JOIN ls ON ls.provider = l.provider AND ls.chain = l.chain GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    found = H.provider_health(V.view(spark, sf, "v_request_log"), "2024-01-01 00:00:00")
-    return found.select("provider", "chain", "requests", "successes", "failures", "cache_hits", "consecutive_failures")
+    """As it stood at the last request of the log."""
+    log = V.view(spark, sf, "v_request_log")
+    found = H.provider_health(log, log.agg(F.max("time")).scalar())
+    return found.select("provider", "chain", "requests", "successes", "failures", "cache_hits", "consecutive_failures", "last_error_at", "last_status", "degraded")

@@ -101,8 +101,13 @@ def page_actions(
 
 def global_rank(df: DataFrame, order: list[Column], out: str = "_rank") -> DataFrame:
     """1-based position in a total order without gathering all rows in one task."""
+    return sorted_position(df.orderBy(*order), out)
+
+
+def sorted_position(ordered: DataFrame, out: str = "_rank") -> DataFrame:
+    """1-based position of the rows of a sorted table."""
     # ids that rise within each partition of the sort, written once so that counts and places agree
-    placed = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = cut_lineage(ordered.withColumn("_id", F.monotonically_increasing_id()))
     part, within = F.shiftrightunsigned("_id", 33), F.col("_id") % F.lit(1 << 33) + 1
     local = placed.withColumns({"_part": part, "_local": within}).drop("_id")
     sizes = local.groupBy("_part").agg(F.max("_local").alias("_size"))

@@ -89,13 +89,19 @@ def status_rank(status: Column) -> Column:
 
 
 def visible_nodes(nodes: DataFrame, mapping: DataFrame, activity: DataFrame) -> DataFrame:
-    """One row per mapped node: summed value, least depth, owners of all, number of addresses."""
+    """One row per mapped node: summed value, least depth, owners of all, number of addresses.
+
+    With ``holdings_usd`` and ``holdings_status`` (``holdings.node_holdings_metrics``) also their sum and the best status.
+    """
+    held = {"holdings_usd", "holdings_status"} <= set(nodes.columns)
+    status = F.struct(status_rank(F.col("holdings_status")).alias("rank"), F.lower(F.trim("holdings_status")).alias("text")) if held else None
+    holdings = [F.coalesce(F.sum("holdings_usd"), F.lit(0)).alias("holdings_usd"), F.max(F.when(clean("holdings_status").isNotNull(), status))["text"].alias("holdings_status")] if held else []
     known = nodes.join(mapping, "key").join(activity.select("key", F.col("usd_spot").alias("_usd")), "key", "left")
     own = F.struct((F.col("key") != F.col("mapped")).cast("int"), F.col("depth"), F.col("key"))
     return known.groupBy(F.col("mapped").alias("key")).agg(
         F.min_by("kind", own).alias("first_kind"), F.min_by("chain", own).alias("chain"), F.min("depth").alias("depth"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("actor_ids")))).alias("actor_ids"), F.bool_or("shared").alias("shared"),
-        F.count("*").alias("address_count"), F.coalesce(F.sum("_usd"), F.lit(0)).alias("usd_spot"),
+        F.count("*").alias("address_count"), F.coalesce(F.sum("_usd"), F.lit(0)).alias("usd_spot"), *holdings,
     ).withColumn(
         "kind", F.when(F.col("key").startswith("external_cluster:"), "external_cluster").when(F.col("key").startswith("actor:"), "actor").otherwise(F.col("first_kind"))
     ).drop("first_kind")
@@ -117,19 +123,37 @@ def visible_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return ends.groupBy(F.col("_from").alias("from_key"), F.col("_to").alias("to_key"), F.when(ownership, "ownership").otherwise("flow").alias("edge_kind")).agg(
         single("action_class", "mixed").alias("action_class"), single("action_key", "multiple").alias("action_key"), single("action_domain", "multiple").alias("action_domain"),
         F.sum("usd_spot").alias("usd_spot"), F.sum("tx_count").alias("tx_count"), F.count("*").alias("raw_edges"), F.max("confidence").alias("confidence"),
-        F.array_sort(F.collect_set(edge_bucket())).alias("buckets"),
+        F.array_sort(F.collect_set(edge_bucket())).alias("buckets"), F.count_distinct("action_class").alias("classes"), *_validators(edges),
     )
 
 
+def _validators(edges: DataFrame) -> list[Column]:
+    """How many validators a group of edges names, and the first of them."""
+    if "validator_address" not in edges.columns:
+        return [F.lit(0).cast("bigint").alias("validators"), F.lit(None).cast("string").alias("validator")]
+    label = F.coalesce(clean("validator_label"), clean("validator_address")) if "validator_label" in edges.columns else clean("validator_address")
+    return [F.count_distinct(clean("validator_address")).alias("validators"), F.min(label).alias("validator")]
+
+
 BUCKET_LABELS = {"swap": "Swap", "transfer": "Transfer", "bond_unbond": "Bond / Unbond", "rebond": "Rebond"}
 
 
 def edge_labels(edges: DataFrame) -> DataFrame:
-    """``label``: the buckets' names, "+n more" after two, the number of transactions if they are mixed."""
-    names = F.transform("buckets", lambda b: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BUCKET_LABELS.items() for x in kv]), b), b))
+    """``label`` of visible edges.
+
+    Names of the buckets (``Transactions`` without one), "+n more" after two; the number of transactions where
+    several edges, classes or buckets are behind it; then the validator or the number of validators. Ownership has none.
+    """
+    listed = F.create_map(*[F.lit(x) for kv in BUCKET_LABELS.items() for x in kv])
+    names = F.transform("buckets", lambda b: F.coalesce(F.try_element_at(listed, b), b))
     more = F.when(F.size("buckets") > 2, F.concat(F.lit(" +"), (F.size("buckets") - 2).cast("string"), F.lit(" more"))).otherwise("")
-    mixed = F.when(F.col("action_class") == "mixed", F.concat(F.lit(" ("), F.col("tx_count").cast("string"), F.lit(" txns)"))).otherwise("")
-    return edges.withColumn("label", F.concat(F.array_join(F.slice(names, 1, 2), ", "), more, mixed))
+    name = F.when(F.size("buckets") == 0, F.lit("Transactions")).otherwise(F.concat(F.array_join(F.slice(names, 1, 2), " + "), more))
+    several = (F.col("classes") > 1) | (F.size("buckets") > 1) | (F.col("raw_edges") > 1)
+    counted = F.when(several & (F.col("tx_count") > 1), F.concat(F.lit(" ("), F.col("tx_count").cast("string"), F.lit(" txns)"))).otherwise("")
+    via = F.when((F.col("validators") == 1) & F.col("validator").isNotNull(), F.concat(F.lit(" via "), "validator")).when(
+        F.col("validators") > 1, F.concat(F.lit(" via "), F.col("validators").cast("string"), F.lit(" validators"))
+    ).otherwise("")
+    return edges.withColumn("label", F.when(F.col("edge_kind") == "ownership", "").otherwise(F.concat(name, counted, via)))
 
 
 def trimmed_amount(raw: Column) -> Column:
@@ -213,6 +237,31 @@ def apply_node_updates(nodes: DataFrame, patch: DataFrame, key: str = "key") ->
 
 
 def refreshable_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes with an address whose holdings are not available."""
+    """Nodes with something to look up (pools: their pool, others: their address) whose holdings are not available."""
     open_ = F.lower(F.coalesce(clean("holdings_status"), F.lit(""))) != "available"
-    return nodes.where(clean("address").isNotNull() & open_).dropDuplicates(["key"])
+    sought = F.when(F.col("kind") == "pool", clean("pool") if "pool" in nodes.columns else clean("key")).otherwise(clean("address"))
+    return nodes.where(sought.isNotNull() & open_).dropDuplicates(["key"])
+
+
+def unavailable_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes whose holdings were asked for in vain (``error`` or ``unavailable``)."""
+    return nodes.where(F.lower(clean("holdings_status")).isin("error", "unavailable")).dropDuplicates(["key"])
+
+
+def apply_label_annotations(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Nodes whose address bears a custom label, shown under it; addresses are compared in lower case, of several labels the least counts."""
+    labels = (
+        annotations.where((F.col("kind") == "label") & clean("value").isNotNull())
+        .groupBy(F.lower(F.trim("normalized_address")).alias("_labelled")).agg(F.min(F.trim("value")).alias("_label"))
+    )
+    return nodes.join(labels, F.lower(F.trim("address")) == F.col("_labelled"), "left").withColumn("label", F.coalesce("_label", "label")).drop("_labelled", "_label")
+
+
+def explorer_visible(nodes: DataFrame, edges: DataFrame, edge_txs: DataFrame, buckets: list[str], chains: list[str], start=None, end=None, min_usd=None, max_usd=None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an explored graph under the filters, nothing collapsed; targets stay, other nodes need an edge."""
+    shown = summarize_edge(filter_edges_by_chain_type(edges, buckets, chains), filter_edge_transactions(edge_txs, start, end, min_usd, max_usd))
+    same = nodes.select("key", F.col("key").alias("mapped"))
+    grouped = visible_edges(shown, same)
+    ends = grouped.select(F.col("from_key").alias("_end")).unionByName(grouped.select("to_key")).distinct()
+    linked = nodes.join(ends, F.col("key") == F.col("_end"), "left").where((F.col("kind") == "explorer_target") | F.col("_end").isNotNull()).drop("_end")
+    return linked, grouped

@@ -89,18 +89,25 @@ def action_ends(actions: DataFrame) -> DataFrame:
     return fee_only_frontier_filter(slim).select(F.concat(F.lit("@"), "frontier_address").alias("look"), "uid")
 
 
+def draw_segments(ledger: Ledger, flow_types: list[str] | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """All segments of a clean ledger."""
+    segments = []
+    if ledger.transfers is not None:
+        segments.append(P.project_transfers(ledger.transfers, ledger.book, overrides))
+    if ledger.actions is not None:
+        segments.append(P.project_actions(ledger.actions, ledger.book, ledger.trace, overrides))
+    all_ = reduce(DataFrame.unionByName, segments)
+    return all_.where(F.col("action_class").isin(*flow_types)) if flow_types else all_
+
+
 def draw(ledger: Ledger, flow_types: list[str] | None = None) -> Drawn:
     """Project a clean ledger in one pass and write segments and ends, both of which every hop reads."""
-    segments, ends = [], []
+    ends = []
     if ledger.transfers is not None:
-        segments.append(P.project_transfers(ledger.transfers, ledger.book))
         ends.append(transfer_ends(ledger.transfers))
     if ledger.actions is not None:
-        segments.append(P.project_actions(ledger.actions, ledger.book, ledger.trace))
         ends.append(action_ends(ledger.actions))
-    all_ = reduce(DataFrame.unionByName, segments)
-    if flow_types:
-        all_ = all_.where(F.col("action_class").isin(*flow_types))
+    all_ = draw_segments(ledger, flow_types)
     looks = reduce(DataFrame.unionByName, ends).distinct()
     return Drawn(cut_lineage(all_), cut_lineage(looks.repartitionByRange("look").sortWithinPartitions("look")))
 

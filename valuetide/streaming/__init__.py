@@ -1,0 +1 @@
+"""Incremental landing of histories and folding of late rows into stored edges, as Structured Streaming queries."""
