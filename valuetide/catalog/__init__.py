@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["columns", "classification", "movement", "graph", "tables", "display", "documents", "streams"]
+GROUPS = ["columns", "classification", "movement", "graph", "tables", "display", "documents", "streams", "explorer"]
 
 
 def load():

@@ -262,6 +262,6 @@ def explorer_visible(nodes: DataFrame, edges: DataFrame, edge_txs: DataFrame, bu
     shown = summarize_edge(filter_edges_by_chain_type(edges, buckets, chains), filter_edge_transactions(edge_txs, start, end, min_usd, max_usd))
     same = nodes.select("key", F.col("key").alias("mapped"))
     grouped = visible_edges(shown, same)
-    ends = grouped.select(F.col("from_key").alias("_end")).unionByName(grouped.select("to_key")).distinct()
+    ends = grouped.select(F.col("from_key").alias("_end")).unionByName(grouped.select(F.col("to_key").alias("_end"))).distinct()
     linked = nodes.join(ends, F.col("key") == F.col("_end"), "left").where((F.col("kind") == "explorer_target") | F.col("_end").isNotNull()).drop("_end")
     return linked, grouped
