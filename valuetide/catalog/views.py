@@ -295,9 +295,22 @@ def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(with_views(sql))
 
 
+#: Tables up to so many bytes often come as a single row group, which one task would read and work on alone.
+SMALL_BYTES = 1 << 30
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if the optimizer takes the tables it reads to be small; larger ones have row groups enough."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    size = 0
+    while leaves.hasNext():
+        size += int(str(leaves.next().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def transfers(spark: SparkSession, sf_dir: str, name: str = "v_transfer") -> DataFrame:
     """Transfers in the library's shape."""
-    df = view(spark, sf_dir, name).withColumnsRenamed({"from_addr": "from", "to_addr": "to"})
+    df = _spread(view(spark, sf_dir, name)).withColumnsRenamed({"from_addr": "from", "to_addr": "to"})
     return df.withColumns(
         {
             "amount_raw": F.col("amount_raw").cast("decimal(38,0)"),

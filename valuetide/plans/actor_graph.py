@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from valuetide import constants as K
@@ -68,25 +68,40 @@ def endpoint_key(side: str) -> Column:
 
 @dataclass
 class Drawn:
-    """A whole clean ledger as finished segments, and the frontier keys that reach each entry.
+    """A whole clean ledger as finished segments, and the slim table that a walk reads.
 
-    ``ends``: look (a frontier key, with or without chain, or ``@`` and an address), uid.
+    ``segments``: one wide row per segment, numbered by ``sid``. ``adjacency``: a row for each segment and frontier
+    key that reaches it: look (a key with or without chain, or ``@`` and an address), address, sid, uid, usd_spot,
+    reach (the greater depth of the ends), other_key, other_address (null for a loop), open (the other end may be walked on from).
     """
 
     segments: DataFrame
-    ends: DataFrame
+    adjacency: DataFrame
 
 
 def transfer_ends(transfers: DataFrame) -> DataFrame:
-    """A frontier key with a chain reads that chain only; one without reads all."""
-    looks = F.array_distinct(F.array(F.concat_ws("|", "from_chain", "from"), F.col("from"), F.concat_ws("|", "to_chain", "to"), F.col("to")))
-    return transfers.select(F.explode(looks).alias("look"), transfer_key().alias("uid")).where("look IS NOT NULL")
+    """``look, address, uid``: a frontier key with a chain reads that chain only; one without reads all."""
+
+    def end(look: Column, address: str) -> Column:
+        return F.struct(look.alias("look"), F.col(address).alias("address"))
+
+    looks = F.array_distinct(F.array(*[end(look, e) for e in ("from", "to") for look in (F.concat_ws("|", f"{e}_chain", e), F.col(e))]))
+    return transfers.select(F.inline(looks), transfer_key().alias("uid")).where("look IS NOT NULL AND address IS NOT NULL")
 
 
 def action_ends(actions: DataFrame) -> DataFrame:
     """Legs are met by address alone; an address that only collects fees does not meet the action."""
     slim = actions.select("uid", "action_class", "source_protocol", "in", "out").withColumn("frontier_address", F.explode(act.leg_addresses()))
-    return fee_only_frontier_filter(slim).select(F.concat(F.lit("@"), "frontier_address").alias("look"), "uid")
+    return fee_only_frontier_filter(slim).select(F.concat(F.lit("@"), "frontier_address").alias("look"), F.col("frontier_address").alias("address"), "uid").distinct()
+
+
+def ledger_ends(ledger: Ledger) -> DataFrame:
+    ends = []
+    if ledger.transfers is not None:
+        ends.append(transfer_ends(ledger.transfers))
+    if ledger.actions is not None:
+        ends.append(action_ends(ledger.actions))
+    return reduce(DataFrame.unionByName, ends)
 
 
 def draw_segments(ledger: Ledger, flow_types: list[str] | None = None, overrides: DataFrame | None = None) -> DataFrame:
@@ -101,55 +116,42 @@ def draw_segments(ledger: Ledger, flow_types: list[str] | None = None, overrides
 
 
 def draw(ledger: Ledger, flow_types: list[str] | None = None) -> Drawn:
-    """Project a clean ledger in one pass and write segments and ends, both of which every hop reads."""
-    ends = []
-    if ledger.transfers is not None:
-        ends.append(transfer_ends(ledger.transfers))
-    if ledger.actions is not None:
-        ends.append(action_ends(ledger.actions))
-    all_ = draw_segments(ledger, flow_types)
-    looks = reduce(DataFrame.unionByName, ends).distinct()
-    return Drawn(cut_lineage(all_), cut_lineage(looks.repartitionByRange("look").sortWithinPartitions("look")))
-
+    """Project a clean ledger in one pass; writes its segments and, beside them, the slim rows that hops read."""
+    segments = cut_lineage(draw_segments(ledger, flow_types).withColumn("sid", F.monotonically_increasing_id()))
+    slim = segments.select(
+        "sid", "uid", "src_address", "dst_address", "usd_spot", F.greatest("src_depth", "dst_depth").alias("reach"),
+        *[f.alias(f"{side}_{name}") for side in ("src", "dst") for name, f in (("open", expandable(side)), ("ekey", endpoint_key(side)))],
+    )
+    at_src, at_dst = (F.coalesce(F.col(f"{side}_address") == F.col("address"), F.lit(False)) for side in ("src", "dst"))
 
-def touched(ends: DataFrame, frontier: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """(uid, item) of entries that the frontier reaches and that no earlier hop has drawn.
+    def other(name: str) -> Column:
+        return F.when(at_src & ~at_dst, F.col(f"dst_{name}")).when(at_dst & ~at_src, F.col(f"src_{name}"))
 
-    Only the slim ends are joined with the frontier; whole rows are fetched by uid afterwards.
-    """
-    item = F.struct("rank", "address", "depth").alias("item")
-    looks = frontier.select(F.explode(F.array(F.col("key"), F.concat(F.lit("@"), "address"))).alias("look"), item)
-    pairs = ends.join(looks, "look").select("uid", "item").distinct()
-    return pairs if seen is None else pairs.join(seen, "uid", "left_anti")
+    near = ledger_ends(ledger).join(slim, "uid").where(at_src | at_dst)
+    adjacency = near.select("look", "address", "sid", "uid", "usd_spot", "reach", other("ekey").alias("other_key"), other("address").alias("other_address"), F.coalesce(other("open"), F.lit(False)).alias("open"))
+    return Drawn(segments, cut_lineage(adjacency))
 
 
-def frontier_step(segments: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
-    """Segments that touch the first frontier item to reach their entry, with depths and candidates.
+def frontier_looks(frontier: DataFrame) -> DataFrame:
+    """(look, item) of a frontier: transfers are met by its keys, actions by its addresses."""
+    return frontier.select(F.explode(F.array(F.col("key"), F.concat(F.lit("@"), "address"))).alias("look"), F.struct("rank", "address", "depth").alias("item"))
 
-    ``pairs``: uid, item(rank, address, depth). Adds ``item`` and ``candidate`` (key,
-    address) of the other end when it can be walked on from.
-    """
-    near = segments.join(pairs, "uid").where(
-        (F.col("src_address") == F.col("item.address")) | (F.col("dst_address") == F.col("item.address"))
-    )
-    shifted = near.withColumns(
-        {
-            "src_depth": F.col("src_depth") + F.col("item.depth"),
-            "dst_depth": F.col("dst_depth") + F.col("item.depth"),
-            "src_id": _with_depth("src"),
-            "dst_id": _with_depth("dst"),
-        }
-    ).where((F.col("src_depth") <= max_depth) & (F.col("dst_depth") <= max_depth))
-    owner = shifted.groupBy("uid").agg(F.min("item").alias("_owner"))
-    mine = shifted.join(owner, "uid").where(F.col("item.rank") == F.col("_owner.rank")).drop("_owner")
-    at_src = F.coalesce(F.col("src_address") == F.col("item.address"), F.lit(False))
-    at_dst = F.coalesce(F.col("dst_address") == F.col("item.address"), F.lit(False))
 
-    def other(side: str) -> Column:
-        return F.when(expandable(side), F.struct(endpoint_key(side).alias("key"), F.col(f"{side}_address").alias("address")))
+def frontier_step(adjacency: DataFrame, frontier: DataFrame, max_depth: int, seen: DataFrame | None = None) -> DataFrame:
+    """Slim rows of the segments that touch the first frontier item to reach their entry.
 
+    Entries in ``seen`` (uid) were drawn by an earlier hop. Columns: sid, uid, item, usd_spot, other_key,
+    ``candidate`` (key, address) of the other end when it can be walked on from. Only the adjacency meets the
+    frontier; no segment is moved. An item meets an entry by its key or by its address, never both, so no row comes twice.
+    """
+    hits = adjacency.join(frontier_looks(frontier), "look").where((F.col("address") == F.col("item.address")) & (F.col("reach") + F.col("item.depth") <= max_depth))
+    near = hits.drop("look", "address", "reach")
+    if seen is not None:
+        near = near.join(seen, "uid", "left_anti")
+    first = F.min("item.rank").over(Window.partitionBy("uid"))  # dealt by uid already where an earlier hop was taken out
+    mine = near.withColumn("_owner", first).where(F.col("item.rank") == F.col("_owner")).drop("_owner")
     inside = F.col("item.depth") + 1 <= max_depth
-    return mine.withColumn("candidate", F.when(inside & at_src & ~at_dst, other("dst")).when(inside & at_dst & ~at_src, other("src")))
+    return mine.withColumn("candidate", F.when(inside & F.col("open"), F.struct(F.col("other_key").alias("key"), F.col("other_address").alias("address")))).drop("open", "other_address")
 
 
 def _with_depth(side: str) -> Column:
@@ -164,13 +166,11 @@ def frontier_top_k(stepped: DataFrame, queued: DataFrame, top_k: int | None) ->
     Within an entry a neighbour counts once with all of the entry's segments that
     touch it. Ties go to the smaller key.
     """
-    ends = F.array_distinct(F.array(endpoint_key("src"), endpoint_key("dst")))
-    touching = stepped.select("uid", "usd_spot", F.explode(ends).alias("key")).groupBy("uid", "key").agg(F.sum("usd_spot").alias("usd"))
-    wanted = stepped.where("candidate IS NOT NULL").groupBy("uid", F.col("candidate.key").alias("key")).agg(
-        F.min("candidate.address").alias("address"), F.min(F.col("item.depth") + 1).alias("depth")
+    per_entry = stepped.where("other_key IS NOT NULL").groupBy("uid", F.col("other_key").alias("key")).agg(
+        F.sum("usd_spot").alias("usd"), F.min("candidate.address").alias("address"), F.min(F.when(F.col("candidate").isNotNull(), F.col("item.depth") + 1)).alias("depth")
     )
     scored = (
-        wanted.join(touching, ["uid", "key"])
+        per_entry.where("depth IS NOT NULL")
         .groupBy("key")
         .agg(F.sum("usd").alias("usd"), F.min("address").alias("address"), F.min("depth").alias("depth"))
         .join(queued, "key", "left_anti")
@@ -221,9 +221,8 @@ def clean_ledger(ledger: Ledger, start=None, end=None) -> tuple[Ledger, DataFram
 def walk(drawn: Drawn, seeds: DataFrame, max_hops: int, top_k: int | None = None) -> DataFrame:
     """Segments reached breadth-first from the seeds, each entry drawn by the first item to reach it.
 
-    The whole frontier is walked unless ``top_k`` asks for its most valuable part. Every hop joins
-    the frontier with the slim ends, then fetches what it touches; its rows and the next frontier
-    are written.
+    The whole frontier is walked unless ``top_k`` asks for its most valuable part. Hops join the frontier
+    with the slim adjacency and write which segments they reach; the wide segments are fetched once, after the last hop.
     """
     if max_hops < 1:
         raise ValueError("max_hops must be at least 1")
@@ -233,12 +232,7 @@ def walk(drawn: Drawn, seeds: DataFrame, max_hops: int, top_k: int | None = None
     parts: list[DataFrame] = []
     for hop in range(max_hops):
         seen = reduce(DataFrame.unionByName, [d.select("uid") for d in parts]).distinct() if parts else None
-        pairs = touched(drawn.ends, frontier, seen)
-        step = cut_lineage(
-            frontier_step(drawn.segments, pairs, max_depth).withColumn(
-                "ord", F.col("ord").withField("hop", F.lit(hop)).withField("rank", F.col("item.rank"))
-            )
-        )
+        step = cut_lineage(frontier_step(drawn.adjacency, frontier, max_depth, seen).withColumn("hop", F.lit(hop)))
         parts.append(step)
         if hop + 1 == max_hops:
             break
@@ -246,7 +240,22 @@ def walk(drawn: Drawn, seeds: DataFrame, max_hops: int, top_k: int | None = None
         if frontier.isEmpty():
             break
         queued = queued.unionByName(frontier.select("key"))
-    return truncate_to_depth(reduce(DataFrame.unionByName, parts).drop("item", "candidate"), max_hops)
+    reached = reduce(DataFrame.unionByName, [d.select("sid", "hop", "item") for d in parts])
+    return truncate_to_depth(fetch(drawn.segments, reached), max_hops)
+
+
+def fetch(segments: DataFrame, reached: DataFrame) -> DataFrame:
+    """Whole segments of ``reached`` (sid, hop, item), their depths counted from the walk's start."""
+    near = segments.join(reached, "sid")
+    return near.withColumns(
+        {
+            "src_depth": F.col("src_depth") + F.col("item.depth"),
+            "dst_depth": F.col("dst_depth") + F.col("item.depth"),
+            "src_id": _with_depth("src"),
+            "dst_id": _with_depth("dst"),
+            "ord": F.col("ord").withField("hop", F.col("hop")).withField("rank", F.col("item.rank")),
+        }
+    ).drop("sid", "hop", "item")
 
 
 def assemble(segments: DataFrame, prices: DataFrame) -> Graph:
@@ -268,7 +277,27 @@ def actor_flow_graph(
     return assemble(segments.unionByName(owned, allowMissingColumns=True), ledger.book.prices), reasons
 
 
+def touched_entries(ledger: Ledger, frontier: DataFrame) -> Ledger:
+    """The entries of a ledger that a frontier reaches."""
+    hits = cut_lineage(ledger_ends(ledger).join(frontier_looks(frontier).select("look").distinct(), "look", "left_semi").select(F.col("uid").alias("_hit")).distinct())
+    transfers, actions = ledger.transfers, ledger.actions
+    if transfers is not None:
+        transfers = transfers.join(hits, transfer_key() == F.col("_hit"), "left_semi")
+    if actions is not None:
+        actions = actions.join(hits, F.col("uid") == F.col("_hit"), "left_semi")
+    return Ledger(ledger.book, transfers, actions, ledger.trace)
+
+
 def expand_one_hop(ledger: Ledger, seeds: DataFrame, flow_types: list[str] | None = None, start=None, end=None) -> Graph:
-    """One hop around all given addresses, without ownership."""
+    """One hop around all given addresses, without ownership.
+
+    Only what the addresses touch is projected. Transfers alone are cut to that before they are cleaned, as
+    repeats of a movement have the same ends; with actions the suppression sets need the whole window.
+    """
+    frontier = cut_lineage(frontier_of(seeds))
+    if ledger.actions is None:
+        ledger = touched_entries(ledger, frontier)
     ready, _ = clean_ledger(ledger, start, end)
+    if ledger.actions is not None:
+        ready = touched_entries(ready, frontier)
     return assemble(walk(draw(ready, flow_types), seeds, 1), ledger.book.prices)
