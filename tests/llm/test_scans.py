@@ -34,6 +34,88 @@ def test_licences(spark):
     assert scan_licences(spark.createDataFrame([], FILES)).count() == 0
 
 
+MIT_HEAD = "MIT License\n\nCopyright (c) 2020 Foo\n"
+
+
+def test_notices_in_many_forms(spark):
+    from valuetide.llm.license_scan import TEXTS, _MIT_GRANT, _MIT_REST
+
+    gpl = next(t for n, t in TEXTS if n == "GPL-3.0" and "published" in t)
+    apache = next(t for n, t in TEXTS if n == "Apache-2.0" and "compliance" in t)
+    comment = lambda t: "\n".join(f" * {x}" for x in t.split("\n"))
+    rows = [
+        ("Some words before it stand here. Licensed under the Apache License, Version 2.0. And more words stand behind it.", "Apache-2.0"),
+        ("SPDX-License-Identifier: MIT", "MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0\nint main() { return 0; }", "Apache-2.0"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + prose(3, 300), "GPL-3.0"),
+        (MIT_HEAD, "MIT"),
+        (MIT_HEAD + "\n" + _MIT_GRANT + "\n\n" + _MIT_REST, "MIT"),
+        ("BSD 3-Clause License", "BSD-3-Clause"),
+        ("it under the terms of the GNU General Public License as published by", "GPL"),
+        (prose(5, 40) + "\n" + comment(gpl) + "\n" + prose(6, 400), "GPL-3.0"),
+        (prose(7, 40) + "\n" + comment(apache) + "\n" + prose(8, 400), "Apache-2.0"),
+        (prose(9, 60) + " licensed under the apache license, version 2.0 " + prose(10, 60), "Apache-2.0"),
+        (prose(11, 60_000) + "\nReleased under the MIT License.\n" + prose(12, 60_000), "MIT"),
+        ("the license plate of my car was stolen by someone in the night", None),
+        ("she had a licence to drive; her permission to use the garden was a copyright of sorts", None),
+        (prose(13, 300), None),
+    ]
+    got = {r.doc_id: r.own_licence for r in scan_licences(spark.createDataFrame([(k, f"d{k}/x", t, 1, "l", "m") for k, (t, _) in enumerate(rows)], FILES)).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(rows)}
+
+
+def test_scores_against_plain_cosines(spark):
+    from math import log, sqrt
+
+    from valuetide.llm.license_scan import score_windows, templates, terms_of
+
+    texts = ["Released under the MIT License.", "released under an mit license " + prose(1, 2), prose(2, 9) + " license", "MIT License", "license license mit", "Licensed under CC BY 4.0.\nAll rights reserved.", ""]
+    known = [(n, terms_of(t)) for n, t in templates()]
+    mine = {t: terms_of(t) for t in texts}
+    total = len(mine) + len(known)
+    idf = {x: log((1 + total) / (1 + sum(x in t for t in mine.values()) + sum(x in t for _, t in known))) + 1 for t in [*mine.values(), *(t for _, t in known)] for x in t}
+
+    def vector(terms):
+        v = {x: terms.count(x) * idf[x] for x in terms}
+        length = sqrt(sum(c * c for c in v.values())) or 1.0
+        return {x: c / length for x, c in v.items()}
+
+    want = {}
+    for text, terms in mine.items():
+        v, best = vector(terms), None
+        for name, other in known:
+            u = vector(other)
+            cosine = round(sum(c * u.get(x, 0.0) for x, c in v.items()), 9)
+            if cosine >= 0.75:
+                place = (-int(cosine * 20 + 1e-6), -len(other), -cosine, name)
+                best = min(best or place, place)
+        if best:
+            want[text] = (best[3], -best[2])
+    got = {r.window: (r.licence, r.cosine) for r in score_windows(spark.createDataFrame([(t,) for t in texts * 3], "window string")).collect()}
+    assert got.keys() == want.keys() and all(got[t][0] == want[t][0] and abs(got[t][1] - want[t][1]) < 1e-8 for t in want) and len(want) >= 3
+
+
+def test_inheritance_in_many_directories(spark):
+    rows = []
+    for d in range(40):
+        name = ["MIT License", "BSD 3-Clause License", "Licensed under CC BY 4.0."][d % 3]
+        rows.append((1000 + d, f"r{d}/LICENSE", name + "\n" + prose(d, 50)))
+        rows += [(2000 + d * 10 + k, f"r{d}/a/b{k}/x.py", prose(k, 5)) for k in range(3)]
+        if d % 4 == 0:
+            rows.append((9000 + d, f"r{d}/a/COPYING.txt", "SPDX-License-Identifier: ISC"))
+    rows += [(20000 + k, "r1/hot/x.py", prose(k, 5)) for k in range(300)]
+    want = {}
+    for i, path, _ in rows:
+        d = int(path.split("/")[0][1:])
+        if 2000 <= i < 9000 or i >= 20000:
+            under = i < 9000 and d % 4 == 0
+            want[i] = ("ISC", f"r{d}/a") if under else (["MIT", "BSD-3-Clause", "CC-BY-4.0"][d % 3], f"r{d}")
+    for limit in (1000, 0):
+        got = {r.doc_id: (r.licence, r.inherited_from) for r in scan_licences(spark.createDataFrame([(*r, 1, "l", "m") for r in rows], FILES), broadcast_dirs=limit).collect()}
+        assert {i: got[i] for i in want} == want
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("a/b/c.py",), ("c.py",)], "p string").select(ancestors(directory_of(F.col("p"))))
     assert [r[0] for r in df.collect()] == [["", "a", "a/b"], [""]]
