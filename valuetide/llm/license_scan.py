@@ -158,9 +158,11 @@ def units_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\n|(?<=[.!?;])\s+"), lambda u: u.rlike("[A-Za-z0-9]"))
 
 
-def windows_of(units: Column) -> Column:
-    """Runs of units from each one with a hint, and runs of words around the hints of long units."""
-    hinted = F.transform(units, lambda u: F.lower(u).rlike(HINTS))
+def windows_of(units: Column, hinted: Column) -> Column:
+    """Runs of units from each one with a hint, and runs of words around the hints of long units.
+
+    ``units`` and ``hinted`` must be plain columns: inside a lambda an expression is worked out anew for each element.
+    """
     at = F.filter(F.sequence(F.lit(1), F.size(units)), lambda i: F.element_at(hinted, i))
     first = lambda i: (i == 1) | ~F.element_at(hinted, F.greatest(i - 1, F.lit(1)))
     sizes = F.array(*[F.lit(n) for n in WINDOW_UNITS])
@@ -176,6 +178,20 @@ def windows_of(units: Column) -> Column:
     return F.when(F.size(units) > 0, F.array_distinct(F.concat(runs, F.flatten(F.transform(long, cut)))))
 
 
+def with_windows(files: DataFrame) -> DataFrame:
+    """``files`` (with ``text``) with ``windows`` and ``words`` in place of the text, both null where no hint stands.
+
+    Each step's arrays pass a generator of one row, so that the next step reads them as columns.
+    """
+    kept = [c for c in files.columns if c != "text"]
+    text = F.col("text")
+    read = F.when(F.lower(text).rlike(HINTS), F.struct(units_of(text).alias("units"), F.regexp_count(text, F.lit(WORD)).alias("words")))
+    units = files.select(*kept, F.explode(F.array(read)).alias("read"))
+    flagged = units.select(*kept, "read", F.explode(F.array(F.transform("read.units", lambda u: F.lower(u).rlike(HINTS)))).alias("hinted"))
+    plain = flagged.select(*kept, F.explode(F.array(F.struct("read.units", "read.words", "hinted"))).alias("read"))
+    return plain.select(*kept, windows_of(F.col("read.units"), F.col("read.hinted")).alias("windows"), F.col("read.words").alias("words"))
+
+
 def _template_terms(spark: SparkSession) -> DataFrame:
     rows = []
     for k, (name, text) in enumerate(templates()):
@@ -235,10 +251,7 @@ def scan_licences(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all tasks (up to ``broadcast_dirs`` of them, else joined), so one that holds a third of all files gathers nothing.
     """
     source = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    hinted = F.lower("text").rlike(HINTS)
-    windows = F.when(hinted, windows_of(units_of(F.col("text"))))
-    words = F.when(hinted, F.regexp_count("text", F.lit(WORD)))
-    found = stored(source.select("row", "doc_id", "path", directory_of(F.col("path")).alias("dir"), windows.alias("windows"), words.alias("words")))
+    found = stored(with_windows(source.select("row", "doc_id", "path", directory_of(F.col("path")).alias("dir"), "text")))
     each = found.select("row", "path", "dir", "words", F.explode("windows").alias("window"))
     scores = score_windows(each)
     best = each.join(scores, "window").withColumn("share", F.regexp_count("window", F.lit(WORD)) / F.col("words"))
