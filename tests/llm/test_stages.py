@@ -123,3 +123,51 @@ def test_whole_pipeline(spark, tmp_path):
     for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[p.doc_id] += p.length
     assert got == want
+
+
+CLASH = SCHEMA + ", _size int, _text string, _words string, _first string, _stage_row string, _row int, `row` string, `words` string, `used` string, _class int, _gone string"
+
+
+def odd_frame(spark, rows):
+    extra = (5, "own text", "own words", "own first", "own row", 7, "r", "w", "u", 3, "g")
+    return spark.createDataFrame([(*r, *extra) for r in rows], CLASH), extra
+
+
+def labelled(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    return f"file://{tmp_path}"
+
+
+def test_every_stage_keeps_clashing_columns(spark, tmp_path):
+    from valuetide.llm.stages import drop_toxic
+
+    rows = sample()
+    docs, extra = odd_frame(spark, rows)
+    home = labelled(spark, tmp_path, [(k, 1, 0) for k in range(12)])
+    for stage in (drop_toxic, dedup_exact, dedup_near, mix):
+        out = stage(spark, docs, home)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got, want = out.collect(), stage(spark, frame(spark, rows), home).collect()
+        assert all(tuple(r[5:]) == extra for r in got)
+        assert Counter(tuple(r[1:5]) for r in got) == Counter(tuple(r[1:5]) for r in want)
+
+
+def test_every_stage_takes_an_empty_table_and_a_long_text(spark, tmp_path):
+    from valuetide.llm.stages import drop_toxic
+
+    home = labelled(spark, tmp_path, [(1, 1, 0)])
+    long = (1, prose(1, 150_000), "en", "a", 9)
+    for stage in (drop_toxic, dedup_exact, dedup_near, mix):
+        assert stage(spark, frame(spark, []), home).count() == 0
+        kept = stage(spark, frame(spark, [long, (2, prose(2, 60), "en", "a", 5)]), home).where("doc_id = 1").collect()
+        assert kept and all(r.text == long[1] for r in kept)
+
+
+def test_the_toxicity_stage_with_labels(spark, tmp_path):
+    from valuetide.llm.stages import drop_toxic
+
+    rows = [(k, prose(k, 60) + (" vile hateful slur scum" * 3 if k % 4 == 0 else ""), "en", "a", 1) for k in range(400)] + [(900, None, "en", "a", 0), (901, "", "en", "a", 0)]
+    home = labelled(spark, tmp_path, [(k, 1, int(k % 4 == 0)) for k in range(300)])
+    kept = {r.doc_id for r in drop_toxic(spark, frame(spark, rows), home).collect()}
+    assert not {k for k in range(300, 400) if k % 4 == 0} & kept and {900, 901} <= kept
+    assert len({k for k in range(300, 400) if k % 4} - kept) <= 2
