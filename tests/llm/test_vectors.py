@@ -78,3 +78,20 @@ def test_every_length_is_searched(spark):
     got = sorted(map(tuple, similar_vectors(frame(spark, rows + rare)).collect()))
     assert got == plain(rows + rare)
     assert sum(n for i, n, *_ in got if i >= 5000) > 10 and dict((i, n) for i, n, *_ in got)[6010] == 1
+
+
+def test_copies_are_searched_as_one(spark, monkeypatch):
+    rows = sample(60)
+    copies = [(10_000 + k, rows[0][1], 0) for k in range(300)] + [(20_000 + k, rows[0][1], 1) for k in range(3)] + [(30_000 + k, rows[7][1], None) for k in range(5)]
+    seen = []
+    assign = embedding_dedup._assign
+    monkeypatch.setattr(embedding_dedup, "_assign", lambda *a: seen.append(a) or assign(*a))
+    got = sorted(map(tuple, similar_vectors(frame(spark, rows + copies)).collect()))
+    assert got == plain(rows + copies) and len(seen) == 1
+    assert dict((i, n) for i, n, *_ in got)[10_005] >= 300
+
+
+def test_one_vector_in_half_of_the_rows(spark):
+    rows = [(k, [1.0, 2.0, 3.0], 0) for k in range(20_000)] + [(50_000 + k, [float(k % 97), 1.0, float(k % 89)], 1) for k in range(200)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in similar_vectors(frame(spark, rows)).collect()}
+    assert all(got[k] == (19_999, 0, k == 0) for k in range(20_000))

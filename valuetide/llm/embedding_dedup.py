@@ -127,13 +127,13 @@ def _link_batch(out) -> pa.RecordBatch:
 
 def _links_of(block: pa.Table, axes: np.ndarray, each: int, needed: int, window: float, similarity: float):
     """(vector, smallest vector reached in the block, links) of the vectors of one block that have links."""
-    ids, delta, side, group, label = (block.column(c).to_numpy() for c in ("vec_id", "delta", "side", "grp", "label"))
+    ids, delta, side, group, label, weight = (block.column(c).to_numpy() for c in ("vec_id", "delta", "side", "grp", "label", "weight"))
     vectors = _matrix(block.column("embedding"))
     vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     placed = vectors @ axes
     g = int(group[0])
     order = np.argsort(placed[:, g * each], kind="stable")
-    ids, delta, side, vectors, placed, label = ids[order], delta[order], side[order], vectors[order], placed[order], label[order]
+    ids, delta, side, vectors, placed, label, weight = ids[order], delta[order], side[order], vectors[order], placed[order], label[order], weight[order]
     line = placed[:, g * each]
     both = (side == 2).any()  # all rows of one chunk: every pair; otherwise pairs across the two chunks
     starts, ends = [], []
@@ -170,7 +170,9 @@ def _links_of(block: pa.Table, axes: np.ndarray, each: int, needed: int, window:
     if not starts or not sum(map(len, starts)):
         return None
     i, j = np.concatenate(starts), np.concatenate(ends)
-    links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, i, weight[j])
+    np.add.at(links, j, weight[i])
     root = ids.copy()
     while True:
         before = root.copy()
@@ -191,7 +193,8 @@ def similar_vectors(vectors: DataFrame, similarity: float = SIMILARITY, groups:
     with ``count - groups + 1`` collisions of ``count``, a number that pairs at the similarity reach with chance
     ``recall``; it then collides throughout at least one group, so pairs are looked for among
     vectors that share a cell of a group's grid, sorted by the group's first projection, and every
-    passing pair is checked exactly, in the first group that holds it.
+    passing pair is checked exactly, in the first group that holds it. Equal vectors of a label are searched
+    as one that counts for all of them, so a group of copies costs its number of rows.
 
     Null, zero and non-finite vectors and those with null components have no links. Each length
     has projections and cells of its own. Rows that share an id are one vector (the smallest by label and
@@ -204,7 +207,11 @@ def similar_vectors(vectors: DataFrame, similarity: float = SIMILARITY, groups:
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     usable = source.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad).where((norm > 0) & (norm < float("inf")))
     once = usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
-    ready = stored(once.withColumn("dims", F.size("embedding")))
+    # doubles as text are exact, so equal digests are equal vectors of one label
+    digest = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("embedding").cast("array<string>")), 256)
+    keyed = stored(once.withColumns({"dims": F.size("embedding"), "same": digest}))
+    folded = stored(keyed.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("embedding").alias("embedding")))
+    ready = folded.select("vec_id", "label", "embedding", "dims", "weight")
     largest = ready.groupBy("label", "dims").count().agg(F.max("count")).first()[0]
     if largest is None:
         return source.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -221,13 +228,16 @@ def similar_vectors(vectors: DataFrame, similarity: float = SIMILARITY, groups:
         F.xxhash64("label", "dims", "grp", "cell", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
         F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int")).alias("side"),
     )
-    rows = pair.join(ready, "vec_id")
+    rows = pair.join(ready.select("vec_id", "label", "embedding", "dims", "weight"), "vec_id")
     tasks = rows.repartition("task").sortWithinPartitions("task")
     found = stored(tasks.mapInArrow(_compare(count, groups, window, similarity), _LINKS))
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    known = links.join(roots, F.col("vec_id") == F.col("node"), "left").select("vec_id", "n_links", "root")
+    known = links.join(roots, F.col("vec_id") == F.col("node"), "left").select(F.col("vec_id").alias("first"), F.col("n_links").alias("others"), "root")
+    told = folded.select("same", F.col("vec_id").alias("first"), "weight").join(known, "first", "left")
+    per_group = told.select("same", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "first").alias("root"))
+    per_vector = keyed.select("vec_id", "same").join(per_group, "same").select("vec_id", "n_links", "root")
     component = F.coalesce("root", "vec_id")
-    return source.join(known, "vec_id", "left").select(
+    return source.select("vec_id").join(per_vector, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept")
     )
