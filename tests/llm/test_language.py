@@ -28,32 +28,46 @@ def test_automaton_accepts_exactly_the_substrings():
     assert not any(accepts(moves, p) for p in [(3, 3), (2, 2), (1, 1, 1), (4,)])
 
 
-def plain_phrases(parser, k, samples, text, block):
+def plain_phrases(parser, samples, text):
     def norm(t):
         return parser.symbols(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()
 
     sample, got = norm(" \n ".join(samples)), norm(text)
     held = {tuple(sample[a:b]) for a in range(len(sample)) for b in range(a + 1, min(len(sample), a + 60) + 1)}
-    n = 0
-    for at in range(0, len(got), block):
-        part = got[at : at + block]
-        while part:
-            size = 1
-            while size < len(part) and tuple(part[: size + 1]) in held:
-                size += 1
-            n += 1
-            part = part[size:]
+    n = at = 0
+    while at < len(got):
+        size = 1
+        while at + size < len(got) and tuple(got[at : at + size + 1]) in held:
+            size += 1
+        n += 1
+        at += size
     return n
 
 
+def counted(parser, texts):
+    raws = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(r) for r in raws])
+    return parser.phrases(*parser.symbols(np.frombuffer(b"".join(raws), np.uint8), offsets))
+
+
 def test_phrases_against_plain_search():
     samples = {"en": ["the cat and the dog ran over the hill"], "fr": ["le chat et le chien sur la colline où"]}
     parser = CrossParser(samples)
-    for text in ["the dog and the cat", "Le CHAT, et 12 le chien!", "zzz", "où où", "the " * 400]:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        symbols, at = parser.symbols(raw, np.array([0, len(raw)]))
-        got = parser.phrases(symbols, at)[:, 0].tolist()
-        assert got == [plain_phrases(parser, k, samples[lang], text, 512) for k, lang in enumerate(parser.langs)]
+    texts = ["the dog and the cat", "Le CHAT, et 12 le chien!", "zzz", "où où", "", "the " * 400, "the dog ran over le chat et " * 300, "sur la "]
+    got = counted(parser, texts)
+    for k, lang in enumerate(parser.langs):
+        assert got[k].tolist() == [plain_phrases(parser, samples[lang], t) for t in texts]
+
+
+def test_phrases_run_over_blocks():
+    pick = np.random.default_rng(5)
+    samples = {"few": ["aaaaa"], "odd": ["abcabcaab", "ccc"], "two": ["".join(pick.choice(list("ab"), 300))]}
+    parser = CrossParser(samples)
+    texts = ["a" * n for n in (511, 512, 513, 1024, 5003)]  # phrases of five never fall in step with a block
+    texts += ["".join(pick.choice(list("abc"), n)) for n in (700, 3000, 10_000)] + ["ab" * 2000, "aaaab" * 900 + "c" * 600]
+    got = counted(parser, texts)
+    for k, lang in enumerate(parser.langs):
+        assert got[k].tolist() == [plain_phrases(parser, samples[lang], t) for t in texts]
 
 
 def test_odd_cases(spark):

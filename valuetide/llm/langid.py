@@ -14,7 +14,7 @@ from valuetide.llm.common import text_parts
 #: Bound of the learning sample: rows per language, then UTF-8 bytes per language.
 SAMPLE_ROWS = 64
 SAMPLE_BYTES = 50_000
-#: Bytes of a text that are parsed as one block; a phrase ends where its block ends.
+#: Symbols that are parsed side by side as one block; phrases run on over the edges of blocks.
 BLOCK = 512
 
 _OUTPUT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -50,6 +50,45 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def _run_on(table: np.ndarray, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, nth: np.ndarray, end: np.ndarray, count: np.ndarray) -> None:
+    """Mend ``end`` and ``count`` of blocks parsed from the start state, so that each goes on from the state its predecessor ended in.
+
+    Both parses of a block go side by side until they are in the same state, mostly after a phrase
+    or two; from there on the block is right as it is. Blocks that never get there have another end,
+    and their successors are mended once more, in order, so the work stays in proportion to the text.
+    """
+    later = np.flatnonzero(nth > 0)
+    entry = np.zeros_like(end)
+    entry[later] = end[later - 1]
+    live, old, new, j = later, np.zeros(len(later), end.dtype), entry[later], 0
+    moved = []
+    while len(live):
+        c = symbols[start[live] + j].astype(np.int32)
+        old, new = table.take((old >> 1) + c), table.take((new >> 1) + c)
+        count[live] += (new & 1) - (old & 1)
+        j += 1
+        apart, over = (old >> 1) != (new >> 1), size[live] == j
+        end[live[apart & over]] = new[apart & over]
+        moved.append(live[apart & over])
+        on = apart & ~over
+        live, old, new = live[on], old[on], new[on]
+    cells = memoryview(table)
+    for at in np.sort(np.concatenate(moved)).tolist() if moved else []:
+        at += 1
+        while at < len(nth) and nth[at] and end[at - 1] >> 1 != entry[at] >> 1:
+            before, now, more = int(entry[at]), int(end[at - 1]), 0
+            entry[at] = now
+            for c in symbols[start[at] : start[at] + size[at]].tolist():
+                before, now = cells[(before >> 1) + c], cells[(now >> 1) + c]
+                more += (now & 1) - (before & 1)
+                if before >> 1 == now >> 1:
+                    break
+            else:
+                end[at] = now
+            count[at] += more
+            at += 1
+
+
 class CrossParser:
     """One automaton per language over the bytes of lower-cased text, every run of other ASCII being one blank."""
 
@@ -89,7 +128,10 @@ class CrossParser:
         return all_[keep], at[offsets]
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases of each row against each language: a phrase is the longest match with the sample, then a new one begins."""
+        """Phrases of each row against each language: a phrase is the longest match with the sample, then a new one begins.
+
+        The blocks of a row are parsed side by side as if a phrase began at each; ``_run_on`` then mends their heads.
+        """
         n = len(offsets) - 1
         sizes = np.diff(offsets)
         blocks = -(-sizes // BLOCK)
@@ -98,19 +140,22 @@ class CrossParser:
         start = offsets[row] + nth * BLOCK
         size = np.minimum(sizes[row] - nth * BLOCK, BLOCK)
         order = np.argsort(-size, kind="stable")
-        row, start, size = row[order], start[order], size[order]
-        active = np.searchsorted(-size, -np.arange(BLOCK), side="left")
+        begin, falling = start[order], -size[order]
+        active = np.searchsorted(falling, -np.arange(BLOCK), side="left")
         out = np.zeros((len(self.langs), n), np.int64)
         states = [np.zeros(len(row), np.int32) for _ in self.langs]
         counts = [np.zeros(len(row), np.int32) for _ in self.langs]
-        for j in range(int(size[0]) if len(size) else 0):
+        for j in range(int(-falling[0]) if len(row) else 0):
             m = int(active[j])
-            c = symbols[start[:m] + j].astype(np.int32)
+            c = symbols[begin[:m] + j].astype(np.int32)
             for table, state, count in zip(self.tables, states, counts):
                 got = table.take((state[:m] >> 1) + c)
                 count[:m] += got & 1
                 state[:m] = got
-        for k, count in enumerate(counts):
+        place = np.argsort(order)
+        for k, table in enumerate(self.tables):
+            end, count = states[k][place], counts[k][place]
+            _run_on(table, symbols, start, size, nth, end, count)
             out[k] = np.bincount(row, count, n).astype(np.int64)
         return out
 
@@ -157,7 +202,7 @@ def identify_language(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id",
 
     A null text, one without a letter, or an empty ``learn`` gives ``und`` with score 0. Repeated
     rows each get their row; further columns of the input are ignored; very long texts are parsed
-    whole, in blocks. There is no shuffle: the automata go to the tasks, bounded by the sample.
+    whole, and phrases run over any place. There is no shuffle: the automata go to the tasks, bounded by the sample.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(CrossParser(language_samples(learn, id_col, text_col, lang_col, SAMPLE_ROWS)))
