@@ -18,8 +18,12 @@ WINDOW = 20
 GRAM = 6
 #: Words of segments that share an FM-index.
 SHARD_WORDS = 300_000
+#: Different segments of an anchor beyond which its windows are dealt out one by one, by all their words.
+HOT_SEGMENTS = 8_000
+#: Hot anchors that are sent to all tasks (8 bytes each); more are joined.
+HOT_BROADCAST = 1_000_000
 
-_ANCHORS = "anchor long, doc_id long, pos int, kind int"
+_ANCHORS = "anchor long, place long, pos int, kind int"
 _SEGMENTS = "anchor long, doc_id long, text_key long, start int, windows int, words string"
 _SPANS = "doc_id long, text_key long, start int, stop int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -72,38 +76,46 @@ def segments_of(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int):
 
 
 def _anchor_rows(window: int, gram: int):
-    """One row per segment; of equal anchors of one batch the first is marked 1 and the others 2."""
+    """One row per segment. Its kind: 1 if the batch has the anchor once; else the first has 1 more than the different segments of the anchor, the others 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, anchors, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            rows, anchors, places, words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for at, _, raw, offsets in text_parts(batch.column(1)):
-                (row, anchor, place, _, _), _, _, first = segments_of(raw, offsets, window, gram)
+                (row, anchor, place, start, windows), starts, ends, first = segments_of(raw, offsets, window, gram)
                 rows.append(row + at)
                 anchors.append(anchor)
                 places.append(place - first[row])
-            row, anchor, place = np.concatenate(rows), np.concatenate(anchors), np.concatenate(places)
-            order = np.argsort(anchor, kind="stable")
-            row, anchor, place = row[order], anchor[order], place[order]
-            same = anchor[1:] == anchor[:-1]
-            again, many = np.append(False, same), np.append(same, False)
-            kind = np.where(again, 2, np.where(many, 1, 0))[: len(row)].astype(np.int32)
+                words.append(span_hashes_of_runs(raw, starts, ends, start, start + windows + window - 2))
+            row, anchor, place, words = np.concatenate(rows), np.concatenate(anchors), np.concatenate(places), np.concatenate(words)
+            order = np.lexsort((words, anchor))
+            row, anchor, place, words = row[order], anchor[order], place[order], words[order]
+            kind = np.zeros(len(row), np.int32)
+            if len(row):
+                new = np.append(True, anchor[1:] != anchor[:-1])
+                heads = np.flatnonzero(new)
+                other = np.append(True, words[1:] != words[:-1]) | new
+                many = np.diff(np.append(heads, len(row))) > 1
+                kind[heads] = np.where(many, np.add.reduceat(other.astype(np.int32), heads), 0) + 1
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a in range(0, len(row), 100_000):
                 s = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[s].view(np.int64)), pa.array(ids[row[s]]), pa.array(place[s].astype(np.int32)), pa.array(kind[s])], ["anchor", "doc_id", "pos", "kind"]
+                    [pa.array(anchor[s].view(np.int64)), pa.array(ids[row[s]]), pa.array(place[s].astype(np.int32)), pa.array(kind[s])], ["anchor", "place", "pos", "kind"]
                 )
 
     return run
 
 
 def _segment_rows(window: int, gram: int):
-    """The segments of texts whose anchors are listed, with their words; of equal ones in a batch the later come without words."""
+    """The segments of texts whose anchors are listed, with their words; of equal ones in a batch the later come without words.
+
+    A segment of a hot anchor comes as its windows, each with a hash of its words for an anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3)
+            ids, keys, lists, warm = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3), batch.column(4)
             parts, texts = [], []
             for at, end, raw, offsets in text_parts(batch.column(2)):
                 (row, anchor, place, start, windows), starts, ends, first = segments_of(raw, offsets, window, gram)
@@ -113,6 +125,15 @@ def _segment_rows(window: int, gram: int):
                     wanted[places[places < first[r + 1]]] = True  # other texts of the same id may be longer
                 keep = np.flatnonzero(wanted[place])
                 row, anchor, start, windows = row[keep], anchor[keep], start[keep], windows[keep]
+                # by value: a place may stand for several texts
+                hot = np.isin(anchor.view(np.int64), np.array(sorted({a for r in range(at, end) for a in warm[r].as_py()}), np.int64))
+                if hot.any():
+                    times = np.where(hot, windows, 1)
+                    each = np.repeat(np.arange(len(row)), times)
+                    start = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+                    row, anchor, windows, hot = row[each], anchor[each], np.where(hot, 1, windows)[each], hot[each]
+                    own_words = span_hashes_of_runs(raw, starts, ends, start[hot], start[hot] + window - 1)
+                    anchor[hot] = mix64(own_words ^ np.uint64(0x94D049BB133111EB))
                 last = start + windows + window - 2
                 parts.append((row + at, anchor, start - first[row], windows, span_hashes_of_runs(raw, starts, ends, start, last)))
                 data = raw.tobytes()
@@ -223,18 +244,22 @@ def repeated_windows(segments: list[tuple], window: int) -> list[tuple]:
     ``segments``: (anchor, doc_id, text_key, start, windows, words) of whole anchors; words may be
     null, which says that an equal segment with words stands earlier.
     """
-    out, seen, left, per_anchor = [], {}, [], {}
+    out, seen, left = [], {}, []
+    per_anchor: dict[int, int] = {}
     for anchor, doc_id, key, start, windows, text in segments:  # by anchor, document and start
         if text is None:
             out.append((doc_id, key, start, start + windows + window - 1))
             continue
         words = tuple(text.encode().split())
-        known = seen.setdefault((anchor, words), (doc_id, start))
-        if known < (doc_id, start):
-            out.append((doc_id, key, start, start + windows + window - 1))
-        elif known == (doc_id, start):
-            left.append((doc_id, start, anchor, key, windows, words))
+        known = seen.get((anchor, words))
+        if known is None:
+            known = seen[anchor, words] = (doc_id, start, anchor, {key}, windows, words)
+            left.append(known)
             per_anchor[anchor] = per_anchor.get(anchor, 0) + 1
+        elif known[:2] < (doc_id, start):
+            out.append((doc_id, key, start, start + windows + window - 1))
+        else:  # another text of the same document: judged with the first
+            known[3].add(key)
     left = [s for s in left if per_anchor[s[2]] > 1]
     if not left:
         return out
@@ -250,20 +275,23 @@ def repeated_windows(segments: list[tuple], window: int) -> list[tuple]:
     counts = np.array([s[4] for s in left])
     owner = np.repeat(np.arange(len(left)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    base = np.array(starts)
-    hit, low, high = index.search(text, base[owner] + nth, window)
-    # segments stand by document and start, so the first place is the earliest one, unless a document has several texts
-    several = len({(s[0], s[3]) for s in left}) > len({s[0] for s in left})
-
-    def standing(at: int) -> tuple:
-        src = int(np.searchsorted(base, at, side="right")) - 1
-        return left[src][0], left[src][1] + at - starts[src]
-
-    for k, a, b in zip(hit.tolist(), low.tolist(), high.tolist()):
-        mine = left[owner[k]]
-        begin = mine[1] + int(nth[k])
-        if any(standing(int(at)) < (mine[0], begin) for at in index.places[a : b if several else a + 1]):
-            out.append((mine[0], mine[3], begin, begin + window))
+    at = np.array(starts)[owner] + nth
+    doc, begin = np.array([s[0] for s in left], np.int64)[owner], np.array([s[1] for s in left], np.int64)[owner] + nth
+    # windows by document and start; those of several texts of one document at one start are equally old
+    order = np.lexsort((begin, doc))
+    new = np.append(True, (doc[order[1:]] != doc[order[:-1]]) | (begin[order[1:]] != begin[order[:-1]]))
+    age = np.zeros(len(text) + 1, np.int64)
+    age[at[order]] = np.cumsum(new)
+    hit, low, high = index.search(text, at, window)
+    if not len(hit):
+        return out
+    # equal windows have one range in the index, others have ranges apart from it
+    ranges, pick, mine = np.unique(low, return_index=True, return_inverse=True)
+    edges = np.column_stack((ranges, high[pick])).reshape(-1)
+    oldest = np.minimum.reduceat(np.append(age[index.places], 0), edges)[::2]
+    for k in hit[age[at[hit]] > oldest[mine]].tolist():
+        here = int(begin[k])
+        out += [(int(doc[k]), key, here, here + window) for key in left[owner[k]][3]]
     return out
 
 
@@ -324,29 +352,48 @@ _NO_ID = -(1 << 63)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (null: the smallest number), text and a key of the text."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (null: the smallest number), text, a key of the text, and place, the id or for a null the text's key."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(own, F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), F.coalesce(own, F.xxhash64(text)).alias("place"))
+
+
+def _shared_places(anchors: DataFrame, hot_segments: int) -> DataFrame:
+    """place, pos and, if it is hot, the anchor of every segment whose anchor occurs more than once."""
+    # counted over one row an anchor and batch, so no anchor is hot here
+    over = Window.partitionBy("anchor")
+    firsts = anchors.where("kind > 0").withColumn("n", F.count("*").over(over)).withColumn("different", F.sum(F.greatest(F.col("kind") - 1, F.lit(1))).over(over))
+    hot_anchor = F.when(F.col("different") > hot_segments, F.col("anchor")).alias("hot")
+    firsts = stored(firsts.where("n > 1 OR kind > 1").select("place", "pos", hot_anchor))
+    others = anchors.where("kind = 0")
+    hot = stored(firsts.where("hot IS NOT NULL").select(F.col("hot").alias("anchor")).distinct().withColumn("hot", F.col("anchor")))
+    found = hot.count()
+    if found:
+        others = others.join(F.broadcast(hot) if found <= HOT_BROADCAST else hot, "anchor", "left")
+    else:
+        others = others.withColumn("hot", F.lit(None).cast("long"))
+    return firsts.unionByName(others.select("place", "pos", "hot"))
+
+
+def repeated_spans(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot_segments: int = HOT_SEGMENTS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``doc_id, text_key, start, stop``: words covered by windows whose words also start earlier.
 
     Windows are dealt to shards by their anchor, the smallest hash among their grams of ``gram``
     words, so equal windows meet. Runs of windows with one anchor make a segment. Anchors that
     occur once are dropped; the segments of the others go to their shards with their words, equal
-    ones of a batch once. A shard indexes its segments (``FMIndex``) and streams them through
+    ones of a batch once. Windows of an anchor with more than ``hot_segments`` different segments
+    (a frequent phrase with ever other words around it) are dealt by all their words instead, so no
+    phrase fills a shard. A shard indexes its segments (``FMIndex``) and streams them through
     backward search; a window is reported if the earliest of its places belongs to a smaller
     document or an earlier start.
     """
     keyed = _keyed(docs, id_col, text_col)
-    anchors = stored(keyed.select("doc_id", "text").mapInArrow(_anchor_rows(window, gram), _ANCHORS))
-    # counted over one row an anchor and batch, so no anchor is hot
-    seen = anchors.where("kind < 2").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
-    shared = seen.where("n > 1 OR kind = 1").select("doc_id", "pos").unionByName(anchors.where("kind = 2").select("doc_id", "pos"))
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))  # one document's own places
-    texts = keyed.join(wanted, "doc_id").select("doc_id", "text_key", "text", "places")
+    anchors = stored(keyed.select("place", "text").mapInArrow(_anchor_rows(window, gram), _ANCHORS))
+    shared = _shared_places(anchors, hot_segments)
+    wanted = shared.groupBy("place").agg(F.collect_set("pos").alias("places"), F.collect_set("hot").alias("hot"))  # one document's own places
+    texts = keyed.join(wanted, "place").select("doc_id", "text_key", "text", "places", "hot")
     segments = texts.mapInArrow(_segment_rows(window, gram), _SEGMENTS)
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     return dealt.mapInArrow(_search_shards(window, shard_words), _SPANS)
@@ -359,13 +406,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     earlier: in a smaller document, or earlier in the same one; windows are judged on the input.
     kept_sha256 is of the kept words joined by one blank. Null and empty texts have no words. A
     null id is smaller than any; rows that share an id are one document with several texts, whose
-    windows at the same start do not count as earlier. Other columns are ignored, an empty table
-    gives an empty result, a text of any length is one row's work.
+    windows at the same start do not count as earlier. Other columns are ignored, whatever their
+    names, an empty table gives an empty result, a text of any length is one row's work.
     """
     spans = repeated_spans(docs, window, id_col=id_col, text_col=text_col)
-    by_id = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "stop")).alias("spans"))
-    keyed = _keyed(docs, id_col, text_col)
-    mine = F.filter("spans", lambda s: s["text_key"] == F.col("text_key"))
-    rows = keyed.join(by_id, "doc_id", "left").select("doc_id", "text", mine.alias("spans"))
+    by_text = spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = _keyed(docs, id_col, text_col).join(by_text, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
     done = rows.mapInArrow(_digest, _RESULT)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
