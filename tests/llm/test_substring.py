@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 
+from valuetide.llm import substring_dedup as module
 from valuetide.llm.substring_dedup import FMIndex, repeated_spans, substring_dedup, window_anchors
 
 from .helpers import docs_frame, odd_docs, prose
@@ -47,21 +48,23 @@ def test_small_shards_give_the_same(spark):
     assert repeated_spans(docs_frame(spark, rows), shard_words=1).distinct().count() == one > 0
 
 
-def test_hot_phrase_is_dealt_by_windows(spark):
+def test_hot_phrase_is_dealt_by_windows(spark, monkeypatch):
     phrase = "this form was filled in by"
     rows = [(k, f"{prose(k, 12)} {phrase} {prose(1000 + k % 90, 25)}", "en", "a") for k in range(240)]
     rows += [(300 + k, f"{prose(700, 16)} {phrase} {prose(800, 16)} {prose(900 + k, 20)}", "en", "a") for k in range(6)]
     rows += [(310, rows[0][1], "en", "a"), (310, rows[3][1], "en", "a"), (0, rows[5][1], "en", "a")]
     docs = docs_frame(spark, rows)
     want = {(d, k, w) for d, k, a, b in map(tuple, repeated_spans(docs).collect()) for w in range(a, b)}
-    for most in (0, 1, 20, 200):
+    for most, counted in ((0, 1), (1, 1), (20, 1), (200, 1), (20, 8)):
+        monkeypatch.setattr(module, "COUNTED", counted)
         got = repeated_spans(docs, hot_segments=most).collect()
         assert {(d, k, w) for d, k, a, b in map(tuple, got) for w in range(a, b)} == want
     held(spark, rows)
 
 
 def test_hot_phrase_against_plain(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup.__globals__["repeated_spans"], "__defaults__", (20, 6, 300_000, 2, "doc_id", "text"))
+    monkeypatch.setattr(module, "COUNTED", 1)
+    monkeypatch.setattr(repeated_spans, "__defaults__", (20, 6, 300_000, 2, "doc_id", "text"))
     held(spark, odd_docs())
     shared = [prose(k, 45) for k in range(4)]
     held(spark, [(k, " ".join([prose(100 + k, 30), shared[k % 4], prose(200 + k, 8), shared[(k * 7) % 4][: 120 + k]]), "en", "a") for k in range(60)])

@@ -20,6 +20,8 @@ GRAM = 6
 SHARD_WORDS = 300_000
 #: Different segments of an anchor beyond which its windows are dealt out one by one, by all their words.
 HOT_SEGMENTS = 8_000
+#: They are counted over every so-manieth different segment by its hash; that decides the way of dealing only, never a result.
+COUNTED = 64
 #: Hot anchors that are sent to all tasks (8 bytes each); more are joined.
 HOT_BROADCAST = 1_000_000
 
@@ -75,8 +77,8 @@ def segments_of(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     return (row_of[at], hashes[place[at]], place[at], at, windows), starts, ends, first
 
 
-def _anchor_rows(window: int, gram: int):
-    """One row per segment. Its kind: 1 if the batch has the anchor once; else the first has 1 more than the different segments of the anchor, the others 0."""
+def _anchor_rows(window: int, gram: int, counted: int):
+    """One row per segment. Its kind: 1 if the batch has the anchor once; else 2 for the first one and 0 for the others; and 4 more for a counted one, which no equal one precedes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,18 +92,16 @@ def _anchor_rows(window: int, gram: int):
             row, anchor, place, words = np.concatenate(rows), np.concatenate(anchors), np.concatenate(places), np.concatenate(words)
             order = np.lexsort((words, anchor))
             row, anchor, place, words = row[order], anchor[order], place[order], words[order]
-            kind = np.zeros(len(row), np.int32)
+            kind = np.zeros(len(row), np.int64)
             if len(row):
                 new = np.append(True, anchor[1:] != anchor[:-1])
-                heads = np.flatnonzero(new)
                 other = np.append(True, words[1:] != words[:-1]) | new
-                many = np.diff(np.append(heads, len(row))) > 1
-                kind[heads] = np.where(many, np.add.reduceat(other.astype(np.int32), heads), 0) + 1
+                kind = np.where(new, np.where(np.append(new[1:], True), 1, 2), 0) + np.where(other & (words % np.uint64(counted) == 0), 4, 0)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a in range(0, len(row), 100_000):
                 s = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[s].view(np.int64)), pa.array(ids[row[s]]), pa.array(place[s].astype(np.int32)), pa.array(kind[s])], ["anchor", "place", "pos", "kind"]
+                    [pa.array(anchor[s].view(np.int64)), pa.array(ids[row[s]]), pa.array(place[s].astype(np.int32)), pa.array(kind[s].astype(np.int32))], ["anchor", "place", "pos", "kind"]
                 )
 
     return run
@@ -358,21 +358,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(own, F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), F.coalesce(own, F.xxhash64(text)).alias("place"))
 
 
-def _shared_places(anchors: DataFrame, hot_segments: int) -> DataFrame:
-    """place, pos and, if it is hot, the anchor of every segment whose anchor occurs more than once."""
+def _wanted_places(anchors: DataFrame, hot_segments: int) -> DataFrame:
+    """place, places of the segments whose anchor occurs more than once, and those anchors of them that are hot."""
     # counted over one row an anchor and batch, so no anchor is hot here
-    over = Window.partitionBy("anchor")
-    firsts = anchors.where("kind > 0").withColumn("n", F.count("*").over(over)).withColumn("different", F.sum(F.greatest(F.col("kind") - 1, F.lit(1))).over(over))
-    hot_anchor = F.when(F.col("different") > hot_segments, F.col("anchor")).alias("hot")
-    firsts = stored(firsts.where("n > 1 OR kind > 1").select("place", "pos", hot_anchor))
-    others = anchors.where("kind = 0")
-    hot = stored(firsts.where("hot IS NOT NULL").select(F.col("hot").alias("anchor")).distinct().withColumn("hot", F.col("anchor")))
+    firsts = anchors.where("kind % 4 > 0").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
+    shared = firsts.where("n > 1 OR kind % 4 = 2").select("anchor", "place", "pos").unionByName(anchors.where("kind % 4 = 0").select("anchor", "place", "pos"))
+    hot = stored(anchors.where("kind >= 4").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") * COUNTED > hot_segments).select("anchor", F.col("anchor").alias("hot")))
     found = hot.count()
-    if found:
-        others = others.join(F.broadcast(hot) if found <= HOT_BROADCAST else hot, "anchor", "left")
-    else:
-        others = others.withColumn("hot", F.lit(None).cast("long"))
-    return firsts.unionByName(others.select("place", "pos", "hot"))
+    if not found:
+        return shared.groupBy("place").agg(F.collect_set("pos").alias("places")).withColumn("hot", F.array().cast("array<long>"))
+    marked = shared.join(F.broadcast(hot) if found <= HOT_BROADCAST else hot, "anchor", "left")
+    return marked.groupBy("place").agg(F.collect_set("pos").alias("places"), F.collect_set("hot").alias("hot"))  # one document's own
 
 
 def repeated_spans(
@@ -390,10 +386,8 @@ def repeated_spans(
     document or an earlier start.
     """
     keyed = _keyed(docs, id_col, text_col)
-    anchors = stored(keyed.select("place", "text").mapInArrow(_anchor_rows(window, gram), _ANCHORS))
-    shared = _shared_places(anchors, hot_segments)
-    wanted = shared.groupBy("place").agg(F.collect_set("pos").alias("places"), F.collect_set("hot").alias("hot"))  # one document's own places
-    texts = keyed.join(wanted, "place").select("doc_id", "text_key", "text", "places", "hot")
+    anchors = stored(keyed.select("place", "text").mapInArrow(_anchor_rows(window, gram, COUNTED), _ANCHORS))
+    texts = keyed.join(_wanted_places(anchors, hot_segments), "place").select("doc_id", "text_key", "text", "places", "hot")
     segments = texts.mapInArrow(_segment_rows(window, gram), _SEGMENTS)
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     return dealt.mapInArrow(_search_shards(window, shard_words), _SPANS)
