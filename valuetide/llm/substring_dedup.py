@@ -404,7 +404,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     names, an empty table gives an empty result, a text of any length is one row's work.
     """
     spans = repeated_spans(docs, window, id_col=id_col, text_col=text_col)
-    by_text = spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = _keyed(docs, id_col, text_col).join(by_text, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    place = F.when(F.col("doc_id") == _NO_ID, F.col("text_key")).otherwise(F.col("doc_id")).alias("place")
+    by_place = spans.distinct().groupBy(place).agg(F.collect_list(F.struct("text_key", "start", "stop")).alias("spans"))
+    mine = F.filter("spans", lambda s: s["text_key"] == F.col("text_key"))
+    # by place again, so that the texts are shuffled once for both joins
+    rows = _keyed(docs, id_col, text_col).join(by_place, "place", "left").select("doc_id", "text", mine.alias("spans"))
     done = rows.mapInArrow(_digest, _RESULT)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
