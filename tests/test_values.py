@@ -94,3 +94,22 @@ def test_provider_health(spark):
     log = spark.createDataFrame(rows, "event_id long, provider string, chain string, outcome string, t string").withColumn("time", F.col("t").cast("timestamp"))
     at = lambda now: H.provider_health(log, now).first()
     assert (at("2024-01-01 00:06:00").consecutive_failures, at("2024-01-01 00:06:00").degraded, at("2024-01-01 00:30:00").degraded) == (3, True, False)
+
+
+LINKS = "height long, tx_id string, node_address string, old_bond_address string, new_bond_address string"
+
+
+def test_rebond_chain(spark):
+    links = spark.createDataFrame([(3, "C", "n", "w3", "w2"), (1, "A", "n", "w1", "w2"), (1, "B", "n", "w1", "w9"), (2, "D", "n", "x1", "x2"), (5, "E", "n", "w3", "w3"), (6, None, None, None, "w1")], LINKS)
+    starts = spark.createDataFrame([("w2",), ("w2",), ("x1",), ("none",), (None,)], "address string")
+    got = [(r.start, r.height, r.tx_id) for r in H.rebond_chain(links, starts).collect()]
+    assert got == [("w2", 1, "A"), ("w2", 1, "B"), ("w2", 3, "C"), ("x1", 2, "D")]
+    assert H.rebond_chain(links.limit(0), starts).count() == 0
+
+
+def test_replace_rebond_links(spark):
+    stored = spark.createDataFrame([(1, "A", "n", "a", "b"), (2, "B", "n", "b", "c"), (3, None, "n", "c", "d"), (4, "C", "n", "d", "e")], LINKS)
+    fresh = spark.createDataFrame([(1, "A", "m", "a", "b"), (1, "A", "m", "a", "b"), (4, "C", "n", "d", "e")], LINKS)
+    again = spark.createDataFrame([("A",), ("B",)], "tx_id string")
+    got = sorted((r.height, r.tx_id, r.node_address) for r in H.replace_rebond_links(stored, fresh, again).collect())
+    assert got == [(1, "A", "m"), (3, None, "n"), (4, "C", "n")]

@@ -419,6 +419,30 @@ def _(spark, sf):
     return H.rebond_continuity(V.view(spark, sf, "v_link")).select("address", "chain_id", "addresses")
 
 
+@query(
+    "rebond_chain",
+    """WITH RECURSIVE l AS (SELECT * FROM v_link WHERE old_bond_address <> new_bond_address), e AS (SELECT old_bond_address AS a, new_bond_address AS b FROM l UNION SELECT new_bond_address, old_bond_address FROM l),
+r AS (SELECT DISTINCT old_bond_address AS start, old_bond_address AS node FROM v_link WHERE height % 100 = 0 UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.node)
+SELECT r.start, l.height, l.tx_id, l.node_address, l.old_bond_address, l.new_bond_address FROM r JOIN l ON l.old_bond_address = r.node""",
+)
+def _(spark, sf):
+    links = V.view(spark, sf, "v_link")
+    # requests: the wallets of every hundredth height, against all links
+    return H.rebond_chain(links, links.where("height % 100 = 0").select(F.col("old_bond_address").alias("address"))).select("start", *H.LINK_COLUMNS)
+
+
+@query(
+    "replace_rebond_links",
+    """SELECT DISTINCT height, tx_id, CASE WHEN node_address = 'thor1node0' THEN node_address ELSE upper(node_address) END AS node_address, old_bond_address, new_bond_address
+FROM v_link WHERE node_address = 'thor1node0' OR old_bond_address <> new_bond_address""",
+)
+def _(spark, sf):
+    stored = V.view(spark, sf, "v_link")
+    again = stored.where("node_address <> 'thor1node0'")
+    fresh = again.where("old_bond_address <> new_bond_address").withColumn("node_address", F.upper("node_address"))
+    return H.replace_rebond_links(stored, fresh, again)
+
+
 @query(
     "provider_health",
     """WITH l AS (SELECT * FROM v_request_log), ls AS (SELECT provider, chain, max(struct_pack(t := time, e := event_id)) AS last FROM l WHERE outcome = 'success' GROUP BY 1, 2)
