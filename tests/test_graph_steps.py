@@ -50,3 +50,41 @@ def test_edges_shuffle_only_what_a_query_reads(spark, monkeypatch):
     assert landed == []
     assert "collect_set" not in _plan(edges)
     assert [tuple(r) for r in edges.collect()] == [("a|b|transfers", "a", 1, Decimal(4))]
+
+
+def test_members_meet_their_pools_without_moving(spark, monkeypatch, tmp_path):
+    """Only parts and pools are dealt by pool; the rows of all suppliers stay where they arise."""
+    from valuetide.catalog import views
+
+    for name, column, keys in (("part", "p_partkey", [1, 101, 102, 205, None]), ("supplier", "s_suppkey", [1, 2, 201, None])):
+        spark.createDataFrame([(k,) for k in keys], f"{column} long").write.parquet(f"{tmp_path}/{name}")
+        spark.read.parquet(f"{tmp_path}/{name}").createOrReplaceTempView(name)
+    monkeypatch.setattr(views, "register_tables", lambda spark, sf: None)
+    try:
+        members = views.members(spark, "none")
+        found = sorted((r.address, r.pool_id, r.units) for r in members.collect())
+        plan = _plan(members.groupBy("pool_id").count())
+    finally:
+        spark.catalog.dropTempView("part")
+        spark.catalog.dropTempView("supplier")
+    assert found == [("supp1", 1, "37"), ("supp1", 101, "37"), ("supp2", 102, "74"), ("supp201", 1, "7437"), ("supp201", 101, "7437")]
+    assert plan.count("Exchange hashpartitioning") == 1  # that of the parts
+
+
+def test_adjacency_has_one_slim_row_per_end(spark):
+    """A key with a chain reads that chain only, one without reads all; an address on two chains is one row."""
+    from valuetide.plans import actor_graph as G
+
+    rows = [("#1", "a", ["ETH|a"], 5, "BASE|b", "b"), ("#2", "a", ["BASE|a"], 7, "BASE|c", "c"), ("#3", "a", ["ETH|a", "BASE|a"], 9, None, None), ("act", "a", None, 2, "ETH|d", "d")]
+    adjacency = spark.createDataFrame(rows, "uid string, address string, looks array<string>, n long, other_key string, other_address string").select(
+        "uid", "address", "looks", F.monotonically_increasing_id().alias("sid"), F.col("n").cast("decimal(38,10)").alias("usd_spot"), F.lit(1).alias("reach"), "other_key", "other_address", F.lit(True).alias("open")
+    )
+
+    def met(*keys):
+        seeds = spark.createDataFrame([(k, k.split("|")[-1]) for k in keys], "key string, address string")
+        return sorted(r.uid for r in G.frontier_step(adjacency, G.frontier_of(seeds), 4).select("uid").collect())
+
+    assert met("ETH|a") == ["#1", "#3", "act"]
+    assert met("a") == ["#1", "#2", "#3", "act"]
+    assert met("ETH|a", "BASE|a", "a") == ["#1", "#2", "#3", "act"]  # the first key to reach an entry has it, once
+    assert met("ETH|b") == []
