@@ -68,3 +68,42 @@ def test_edges_and_actions_are_dealt_before_they_are_sorted(spark):
     edges = {r.edge_id: (r.from_key, r.confidence, r.tx_count, r.action_label) for r in A.build_edges(rows, A.edge_tx_assets(rows)).collect()}
     assert edges["n|m|k"] == ("n", 0.1, 1, "K") and len(edges) == 4
     assert sorted((r.edge_id, r.height, int(r.usd_spot)) for r in A.supporting_actions(rows).collect())[1] == ("n|m|k", 1, 3)
+
+
+def test_graph_stats_read_each_table_once(spark):
+    """Protocols are counted in the pass that counts edges; empty tables count 0."""
+    nodes = spark.range(5).select(F.when(F.col("id") < 2, "actor").otherwise("address").alias("kind"))
+    edges = spark.range(3).select(F.when(F.col("id") == 0, F.array(F.lit("THOR"))).when(F.col("id") == 1, F.array(F.lit("MAYA"), F.lit("THOR"))).alias("source_protocols"))
+    found = A.graph_stats(nodes, edges, spark.range(7))
+    assert [_plan(found).count(f"Range (0, {n}") for n in (5, 3, 7)] == [1, 1, 1]
+    assert [tuple(r) for r in found.collect()] == [(2, 5, 3, 7, 2)]
+    assert [tuple(r) for r in A.graph_stats(nodes.limit(0), edges.limit(0), spark.range(0)).collect()] == [(0, 0, 0, 0, 0)]
+
+
+def test_pages_are_written_before_they_are_merged(spark, monkeypatch):
+    """Nodes, edges and transactions of the pages read narrow rows; the segments are derived once."""
+    from valuetide.catalog import explorer as X
+
+    got = []
+    merge = X.E.merge_explorer_pages
+    monkeypatch.setattr(X, "segments", lambda spark, sf: _segments(spark).withColumns({"src_key": F.concat(F.lit("cust"), F.col("at")), "dst_key": F.concat(F.lit("supp"), F.col("at"))}))
+    monkeypatch.setattr(X.E, "merge_explorer_pages", lambda *tables: got.extend(_plan(t) for t in tables[:3]) or merge(*tables))
+    from valuetide.catalog import load
+
+    rows = load()[0]["merge_explorer_pages"](spark, "none").collect()
+    assert len(got) == 3 and all("FileScan parquet" in plan and "ExistingRDD" not in plan for plan in got)
+    assert sorted((r.from_id, r.to_id, r.usd_spot) for r in rows)[4] == ("A:cust5:0", "A:supp5:0", 5.0)
+
+
+def test_chains_and_assets_of_unknown_and_finished_names(spark):
+    """Unknown formats are judged by one pattern, finished names are not rewritten; results stay."""
+    from valuetide.functions.addresses import ANY_CHAIN_PATTERN, infer_chain
+    from valuetide.functions.assets import normalize_asset
+
+    rows = [("eth", "0x" + "aB" * 20), (None, "0x" + "12" * 20), ("sol", "So1abc"), (" ", "So1abc"), ("x", "THOR1a"), ("x", " Tabc"), ("x", None), ("x", "rAb"), ("x", "Rab")]
+    df = spark.createDataFrame(rows, "hint string, address string")
+    assert [r[0] for r in df.select(infer_chain("hint", "address")).collect()] == ["ETH", "ETH", "SOL", None, "THOR", "TRON", "X", "XRP", "X"]
+    assert ANY_CHAIN_PATTERN in df.select(infer_chain("hint", "address"))._jdf.queryExecution().analyzed().toString()
+    names = ["x/", "X/ btc-btc", "eth.usdc-0x1", "btc-btc", "rune", "x/ruji", "x/a.b", None, " ", "lx.a-b"]
+    found = spark.createDataFrame([(n,) for n in names], "n string").select(normalize_asset("n")).collect()
+    assert [r[0] for r in found] == [None, "BTC.BTC", "ETH.USDC-0X1", "BTC.BTC", "THOR.RUNE", "THOR.RUJI", "X/A.B", None, None, "LX.A-B"]
