@@ -95,3 +95,18 @@ def test_traced_movements_are_joined_once(spark, tables, monkeypatch):
     actions = V.prepared_actions(spark, tables)
     found = T.trace_select_transfers(actions, V.trace(spark, tables))
     assert len(written) == 1 and "LeftSemi" in written[0] and "Join" not in _plan(found)
+
+
+def test_landed_rows_are_remembered_on_disk(spark, tmp_path):
+    """State is no map on the heap; a store that the session names stays in use, and its setting as it was."""
+    from valuetide.streaming import ingest as I
+
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "key string, n int")
+    rows.write.parquet(f"{tmp_path}/source")
+    for _ in range(2):
+        stream = I._fresh(I.file_stream(spark, f"{tmp_path}/source", rows.schema), [F.col("key"), F.col("n")], I.HORIZON)
+        I.stream_ingest(stream, f"{tmp_path}/landed", f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/landed").select("key", "n").collect())) == [("a", 1), ("b", 2)]
+    state = [p.suffix for p in (tmp_path / "checkpoint" / "state").rglob("*") if p.is_file()]
+    assert ".delta" not in state and ".zip" in state
+    assert spark.conf.get(I.STORE, None) is None
