@@ -110,3 +110,24 @@ def test_landed_rows_are_remembered_on_disk(spark, tmp_path):
     state = [p.suffix for p in (tmp_path / "checkpoint" / "state").rglob("*") if p.is_file()]
     assert ".delta" not in state and ".zip" in state
     assert spark.conf.get(I.STORE, None) is None
+
+
+@pytest.mark.parametrize(("name", "column", "value"), [("page_actions_oldest", "source_protocol", "MAYA")])
+def test_only_actions_that_a_query_asks_for_are_named_and_landed(spark, tables, monkeypatch, name, column, value):
+    """The first table written holds these alone, whole and with all their legs; the condition is judged before legs are made."""
+    from valuetide.catalog import load
+
+    whole = sorted(map(str, V.ledger_actions(spark, tables).where(F.col(column) == value).collect()))
+    written = []
+    write = session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: written.append(df) or write(df))
+    load()[0][name](spark, tables)
+    assert len(whole) > 3 and sorted(map(str, written[0].collect())) == whole
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any(line.lstrip(" :+-").startswith("Filter") and "transform" not in line for line in plan[: next(i for i, line in enumerate(plan) if "Generate explode" in line)])
+
+
+def test_legs_and_lines_are_sorted_by_their_own_order(spark, tables):
+    """No comparison is interpreted for each pair of elements."""
+    plan = V.actions_with_legs(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
