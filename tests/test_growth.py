@@ -112,7 +112,7 @@ def test_landed_rows_are_remembered_on_disk(spark, tmp_path):
     assert spark.conf.get(I.STORE, None) is None
 
 
-@pytest.mark.parametrize(("name", "column", "value"), [("page_actions_oldest", "source_protocol", "MAYA")])
+@pytest.mark.parametrize(("name", "column", "value"), [("page_actions_oldest", "source_protocol", "MAYA"), ("project_contract_traces", "type", "contract")])
 def test_only_actions_that_a_query_asks_for_are_named_and_landed(spark, tables, monkeypatch, name, column, value):
     """The first table written holds these alone, whole and with all their legs; the condition is judged before legs are made."""
     from valuetide.catalog import load
@@ -127,6 +127,16 @@ def test_only_actions_that_a_query_asks_for_are_named_and_landed(spark, tables,
     assert any(line.lstrip(" :+-").startswith("Filter") and "transform" not in line for line in plan[: next(i for i, line in enumerate(plan) if "Generate explode" in line)])
 
 
+def test_traces_of_calls_alone_are_the_traces_of_all_actions(spark, tables):
+    from valuetide.catalog import load
+    from valuetide.catalog.movement import _separate
+    from valuetide.operators.project import project_contract_traces
+
+    rows = project_contract_traces(_separate(V.prepared_actions(spark, tables)), V.trace(spark, tables))
+    every = rows.select("uid", F.col("src_raw").alias("src"), F.col("dst_raw").alias("dst"), "src_role", "dst_role", "asset", F.col("_amount").alias("amount"), "confidence")
+    assert sorted(map(str, load()[0]["project_contract_traces"](spark, tables).collect())) == sorted(map(str, every.collect()))
+
+
 def test_legs_and_lines_are_sorted_by_their_own_order(spark, tables):
     """No comparison is interpreted for each pair of elements."""
     plan = V.actions_with_legs(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
