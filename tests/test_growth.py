@@ -141,3 +141,21 @@ def test_legs_and_lines_are_sorted_by_their_own_order(spark, tables):
     """No comparison is interpreted for each pair of elements."""
     plan = V.actions_with_legs(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array(" in plan and "array_sort(" not in plan
+
+
+@pytest.mark.parametrize(("name", "wide"), [("project_contracts", "provider_address"), ("lookup_by_tx", "payout_address"), ("shadow_send_antijoin", "payout_address")])
+def test_queries_land_the_actions_and_columns_that_they_read(spark, tables, monkeypatch, name, wide):
+    from valuetide.catalog import load
+
+    from valuetide.catalog import movement
+
+    written = []
+    write = session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: written.append(df) or write(df))
+    monkeypatch.setattr(movement, "_report", lambda spark, sf, raw, actions: raw)
+    session.forget_landed()
+    load()[0][name](spark, tables)
+    prepared = [df for df in written if "uid" in df.columns or "action_class" in df.columns]
+    assert prepared and not [df for df in prepared if wide in df.columns]
+    if name == "project_contracts":
+        assert {r.type for r in prepared[0].select("type").distinct().collect()} == {"contract"}
