@@ -67,3 +67,42 @@ def test_looked_up_actions_are_found_once(spark, monkeypatch):
     assert written == [["action_id"], actions.columns]
     assert [r.action_id for r in found.collect()] == [11, 10, 8, 7, 6, 3, 1]
     assert D.lookup_by_tx(actions, spark.createDataFrame([("other",)], "tx_id string")).count() == 0
+
+
+def _rows_of_transactions(spark):
+    return spark.createDataFrame([("a|b|x", "t1", "THOR", 3, None, 2), ("a|b|x", "t2", "THOR", None, None, 1), ("a|c|x", "t1", "THOR", 10, None, 5)], "edge_id string, tx_id string, source_protocol string, height long, time timestamp, n int").select(
+        "edge_id", "tx_id", "source_protocol", "height", "time", F.col("n").cast("decimal(38,10)").alias("usd_spot")
+    )
+
+
+def test_streamed_transactions_are_derived_once(spark, monkeypatch):
+    from valuetide.catalog import load, streams
+
+    derived = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            derived.add(1)
+            yield r
+
+    plain = _rows_of_transactions(spark)
+    monkeypatch.setattr(streams, "_txs", lambda spark, sf: spark.createDataFrame(plain.rdd.mapPartitions(counted), plain.schema))
+    found = load()[0]["stream_edge_upsert"](spark, "none")
+    assert sorted(map(tuple, found.collect())) == [("a|b|x", "t1", 2.0, 3), ("a|b|x", "t2", 2.0, -1), ("a|c|x", "t1", 10.0, 10)]
+    assert derived.value == 3
+
+
+def test_positions_are_written_with_ids_alone(spark, monkeypatch):
+    from valuetide.catalog import explorer, load
+
+    acts = spark.createDataFrame([("a", "b", "t2", 2), ("a", "c", "t1", 1), ("a", "b", "t1", 1)], "src_key string, dst_key string, tx_id string, n int").withColumn("time", F.timestamp_seconds("n")).withColumn("wide", F.lit("w"))
+    edges = spark.createDataFrame([("a|b|x", 5, "w"), ("a|c|x", 7, "w")], "edge_id string, usd_spot int, wide string")
+    monkeypatch.setattr(explorer, "segments", lambda spark, sf: acts)
+    monkeypatch.setattr(explorer, "edges", lambda spark, sf: edges)
+    monkeypatch.setattr(explorer, "nodes", lambda spark, sf, firsts: acts.selectExpr("1 AS depth", "'s' AS stage", "src_key AS label", "src_key AS key"))
+    monkeypatch.setattr(explorer.A, "supporting_actions", lambda rows: rows)
+    written, real = [], D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda df: written.append(set(df.columns)) or real(df))
+    found = load()[0]["sort_outputs"](spark, "none")
+    assert written == [{"edge_id", "_id"}, {"tx_id", "edge_id", "_id"}]
+    assert sorted(map(tuple, found.collect())) == [("action", "t1 a|b", 1), ("action", "t1 a|c", 2), ("action", "t2 a|b", 3), ("edge", "a|b|x", 2), ("edge", "a|c|x", 1)]
