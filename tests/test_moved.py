@@ -18,6 +18,8 @@ def test_best_rows_move_with_what_is_read_of_them(spark):
     best = D.keep_best(rows, [F.col("k").alias("_key")], F.struct("o"))
     assert best.columns == rows.columns
     assert sorted(map(str, best.collect())) == sorted(map(str, rows.where("v IN ('n', 'q', 'v')").collect()))
+    tied = spark.createDataFrame([("a", 1, n) for n in range(9)], "k string, o int, n int").coalesce(1)
+    assert [r.n for smallest in (True, False) for r in D.keep_best(tied, ["k"], F.struct("o"), smallest).collect()] == [8, 8]
     largest = D.keep_best(rows, ["k"], F.struct("o"), smallest=False)
     assert sorted(r.v for r in largest.collect()) == ["v", "x", "z"]
     plan = _plan(D.keep_best(D.cut_lineage(rows), [F.col("k").alias("_key")], F.struct("o")).select("k", "v"))
